@@ -44,7 +44,7 @@ def test_query(spark, sf_dir):
 
 def test_merging_rounds(spark, monkeypatch):
     """Many partitions and short runs: underfull bins of one partition are filled with those of others."""
-    monkeypatch.setattr(m, "RUN", 40)
+    monkeypatch.setattr(m, "RUN", 150)
     monkeypatch.setattr(m, "FIRST", 20)
     texts = {i: "word " * (37 * i % 900) for i in range(400)}
     docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(16)
