@@ -31,14 +31,29 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    from tessera.llm.secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     from tessera.llm.langid import identify
 
     return identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.array_join("langs", ",").alias("langs"))
 
 
+def op10_private_data(spark, sf_dir):
+    from tessera.llm.private import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op5_simhash_near_dedup, op7_secret_scan, op9_language_id, op10_private_data)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op5_simhash_near_dedup, op9_language_id)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql():
