@@ -25,12 +25,24 @@ def op3_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    from tessera.llm.line_templates import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     from tessera.llm.near_simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_near_dedup(spark, sf_dir):
+    from tessera.llm.near_embeddings import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_secret_scan(spark, sf_dir):
     from tessera.llm.secrets import report
 
@@ -49,7 +61,7 @@ def op10_private_data(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op5_simhash_near_dedup, op7_secret_scan, op9_language_id, op10_private_data)
+_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op4_line_dedup, op5_simhash_near_dedup, op6_embedding_near_dedup, op7_secret_scan, op9_language_id, op10_private_data)
 
 
 def queries():
@@ -57,4 +69,6 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from tessera.llm import line_templates
+
+    return {"op4_line_dedup": line_templates.SQL.format(docs="documents")}
