@@ -49,6 +49,12 @@ def op7_secret_scan(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark, sf_dir):
+    from tessera.llm.suffix_levels import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark, sf_dir):
     from tessera.llm.langid import identify
 
@@ -61,7 +67,7 @@ def op10_private_data(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op4_line_dedup, op5_simhash_near_dedup, op6_embedding_near_dedup, op7_secret_scan, op9_language_id, op10_private_data)
+_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op4_line_dedup, op5_simhash_near_dedup, op6_embedding_near_dedup, op7_secret_scan, op8_suffix_dedup, op9_language_id, op10_private_data)
 
 
 def queries():
