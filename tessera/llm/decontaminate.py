@@ -22,6 +22,8 @@ SET_BYTES = 8_000_000
 SCAN_BYTES = 4_000_000
 
 U = np.uint64
+#: A bitmap by the first 20 bits of a hash turns most windows away before the search.
+SLOT = U(44)
 _ODD, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,7 +94,7 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def window_set(items: list[tuple[str, bytes]]) -> dict:
-    """{words of a window: (sorted hashes, {hash: {words: item ids}})} of benchmark items.
+    """{words of a window: (sorted hashes, {hash: {words: item ids}}, bitmap of the hashes' first bits)} of benchmark items.
 
     An item of fewer words than WINDOW, but not none, is one window.
     """
@@ -106,7 +108,12 @@ def window_set(items: list[tuple[str, bytes]]) -> dict:
                 ids = sets.setdefault(k, {}).setdefault(h, {}).setdefault(words.key(at, k), [])
                 if item_id not in ids:
                     ids.append(item_id)
-    return {k: (np.array(sorted(s), U), s) for k, s in sets.items()}
+    out = {}
+    for k, s in sets.items():
+        hashes, seen = np.array(sorted(s), U), np.zeros(1 << 20, bool)
+        seen[(hashes >> SLOT).astype(np.int64)] = True
+        out[k] = hashes, s, seen
+    return out
 
 
 def scan(texts: list[bytes], sets: dict) -> tuple[list[int], dict[int, tuple[list[tuple[int, int]], set[str]]]]:
@@ -117,14 +124,11 @@ def scan(texts: list[bytes], sets: dict) -> tuple[list[int], dict[int, tuple[lis
     n_words = np.bincount(words.text, minlength=len(texts)).tolist()
     first_word = np.searchsorted(words.text, np.arange(len(texts)))
     found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    for k, (hashes, exact) in sets.items():
+    for k, (hashes, exact, seen) in sets.items():
         at, one_text = words.windows(k)
         if not len(at):
             continue
-        slots = (at >> U(42)).astype(np.int64)  # a bitmap of 22 bits turns most windows away before the search
-        seen = np.zeros(1 << 22, bool)
-        seen[(hashes >> U(42)).astype(np.int64)] = True
-        maybe = np.flatnonzero(seen[slots] & one_text)
+        maybe = np.flatnonzero(seen[(at >> SLOT).astype(np.int64)] & one_text)
         place = np.minimum(np.searchsorted(hashes, at[maybe]), len(hashes) - 1)
         for i in maybe[hashes[place] == at[maybe]].tolist():
             ids = exact[int(at[i])].get(words.key(i, k))
@@ -175,6 +179,18 @@ def _scan_rows(sets, with_text: bool):
     return work
 
 
+def _sets(benchmark: DataFrame):
+    """(number of sets, function from a set's number to its broadcast): as many as keep each near SET_BYTES of text."""
+    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("item")).where("item is not null")
+    n_sets = -(-(bench.agg(F.sum(F.octet_length("item"))).first()[0] or 0) // SET_BYTES) or 1
+
+    def one(k: int):
+        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_sets)) == k) if n_sets > 1 else bench
+        return benchmark.sparkSession.sparkContext.broadcast(window_set([(r["item_id"], r["item"].encode()) for r in part.toLocalIterator()]))
+
+    return n_sets, one
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_words, hits, items) for every row of ``docs``: runs of hit words (first, end) and the ids of the items hit.
 
@@ -184,17 +200,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool =
     null or wordless documents no hits. Repeated items count once for each item_id; a null item_id counts as the string
     "null". Each repeated document row gets its own row.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("item")).where("item is not null")
-    size = bench.agg(F.sum(F.octet_length("item"))).first()[0] or 0
-    n_sets = -(-size // SET_BYTES) or 1
+    n_sets, one = _sets(benchmark)
     schema = SCHEMA + (", text string" if with_text else "")
-
-    def one(k: int):
-        part = bench.where(F.pmod(F.xxhash64("item_id"), F.lit(n_sets)) == k) if n_sets > 1 else bench
-        return spark.sparkContext.broadcast(window_set([(r["item_id"], r["item"].encode()) for r in part.toLocalIterator()]))
-
     if n_sets == 1:
         return rows.mapInArrow(_scan_rows(one(0), with_text), schema)
     found = None
@@ -203,7 +211,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool =
         part = rows.mapInArrow(_scan_rows(one(k), True), SCHEMA + ", text string").where(F.size("items") > 0).select("doc_id", F.sha2("text", 256).alias("text_key"), "hits", "items")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("hits")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = spark.sparkContext.broadcast({})
+    empty = docs.sparkSession.sparkContext.broadcast({})
     base = rows.mapInArrow(_scan_rows(empty, True), SCHEMA + ", text string").select("doc_id", "n_words", "text").withColumn("text_key", F.sha2("text", 256))
     joined = base.join(merged, base["doc_id"].eqNullSafe(merged["doc_id"]) & (base["text_key"] == merged["text_key"]), "left").select(base["doc_id"], "n_words", "runs", "items", "text")
     step = """aggregate(array_sort(runs), cast(array() as array<struct<first:bigint,end:bigint>>), (done, x) ->
@@ -253,3 +261,25 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = find_contamination(docs, benchmark, with_text=True).select("doc_id", "text", "hits", n_hit().alias("n_hit"))
     return found.mapInArrow(cut, "doc_id bigint, text string, n_hit bigint")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without its contaminated documents. Same columns; the rules are those of ``contamination``."""
+    n_sets, one = _sets(benchmark)
+    if n_sets == 1:
+        value, place = one(0), docs.columns.index("text")
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for text in batch.column(place).cast(pa.string()).cast(pa.binary()):
+                    n_words, found = scan([text.as_py() or b""], value.value)
+                    n = sum(b - a for a, b in found[0][0]) if found else 0
+                    keep.append(not n or 20 * n < n_words[0])
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return docs.mapInArrow(work, docs.schema)
+    found = find_contamination(docs, benchmark, with_text=True).withColumn("n_hit", n_hit())
+    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_dc_id"), F.sha2("text", 256).alias("_dc_text")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dc_id")) & (F.sha2(F.col("text").cast("string"), 256) == F.col("_dc_text"))
+    return docs.join(bad, same, "left_anti")

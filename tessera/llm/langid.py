@@ -139,3 +139,18 @@ def identify(docs: DataFrame, rows_per_lang: int = 2000, learn_from: DataFrame |
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(work, "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>, proportions array<double>")
+
+
+def drop_unidentified(docs: DataFrame, least: float = 0.5, rows_per_lang: int = 2000) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: null or letterless texts, and scores under ``least``. Same columns."""
+    langs, table = train(docs, rows_per_lang)
+    model = docs.sparkSession.sparkContext.broadcast((langs, table))
+    place = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, table = model.value
+        for batch in batches:
+            found = [infer(t, langs, table) for t in batch.column(place).cast(pa.string()).to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _, _ in found], pa.bool_()))
+
+    return docs.mapInArrow(work, docs.schema)

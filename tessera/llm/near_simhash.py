@@ -250,3 +250,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     comps = connected_components(links.union(twice))
     found = classes.join(comps, classes["rep"] == comps["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one document of each group of ``near_duplicates``: the one with the smallest doc_id, one row of it. Same columns.
+
+    Rows without a doc_id can't stand for a group; they go if a document with an id is linked to them, else they stay.
+    """
+    groups = near_duplicates(docs, shingle, radius)
+    keep = groups.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_nd_id")).distinct()
+    joined = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id"))).drop("_nd_id")
+    return joined.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(joined.where("doc_id is null"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tessera.llm.common import table
 
 
@@ -67,7 +68,11 @@ def op10_private_data(spark, sf_dir):
     return report(table(spark, sf_dir, "documents"))
 
 
-_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op4_line_dedup, op5_simhash_near_dedup, op6_embedding_near_dedup, op7_secret_scan, op8_suffix_dedup, op9_language_id, op10_private_data)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_quality_classifier, op2_best_fit_packing, op3_decontamination, op4_line_dedup, op5_simhash_near_dedup, op6_embedding_near_dedup, op7_secret_scan, op8_suffix_dedup, op9_language_id, op10_private_data, pipeline)
 
 
 def queries():

@@ -74,3 +74,12 @@ def test_odd_rows(spark, odd, empty):
     assert m.contamination(odd, items).count() == odd.count()
     assert m.contamination(empty, items).count() == 0
     assert {r["n_hit"] for r in m.contamination(odd, items.where("false")).collect()} == {0}
+
+
+@pytest.mark.parametrize("set_bytes", [m.SET_BYTES, 60])
+def test_documents_removed(spark, monkeypatch, set_bytes):
+    monkeypatch.setattr(m, "SET_BYTES", set_bytes)
+    docs, items = spark.createDataFrame(DOCS, "doc_id bigint, text string").selectExpr("*", "1 as n_words", "2 as hits"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    want = {i for i, x in slow(DOCS, ITEMS).items() if not x[4]}
+    got = m.drop_contaminated(docs, items)
+    assert {r["doc_id"] for r in got.collect()} == want and got.columns == docs.columns
