@@ -32,8 +32,8 @@ LENGTH, GRAM = 200, 64
 PLACES = LENGTH - GRAM + 1
 #: Bits of a position; the others of a hash decide which one is smallest, and the leftmost of equal ones does.
 POSITION = U(31)
-#: Bytes of text whose anchors are found at once, and of segments in one suffix array.
-TEXT_BYTES, ARRAY_BYTES = 4_000_000, 4_000_000
+#: Bytes of text whose anchors are found at once (longer texts come in overlapping pieces), and of segments in one suffix array.
+TEXT_BYTES, ARRAY_BYTES = 500_000, 1_000_000
 #: Different segments of one anchor that a shard takes.
 SHARD_SEGMENTS = 2_000
 
@@ -46,7 +46,7 @@ def _prefix_hash(data: np.ndarray, values: np.ndarray, base: int):
     """A function (starts, ends) -> hash of each slice, by prefix sums of a polynomial modulo 2**64."""
     n = len(data) + 1
     if base not in _powers or len(_powers[base][0]) < n:
-        _powers[base] = tuple(np.concatenate(([U(1)], np.cumprod(np.full(2 * n, b, U)))) for b in (base, pow(base, -1, 1 << 64)))
+        _powers[base] = tuple(np.concatenate(([U(1)], np.cumprod(np.full(n, b, U)))) for b in (base, pow(base, -1, 1 << 64)))
     up, down = _powers[base]
     sums = np.concatenate(([U(0)], np.cumsum(values[data] * up[: n - 1])))
 
@@ -186,22 +186,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("doc_id"), text.alias("text")).select("doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.hash("text", F.lit("tag")).alias("tag"), "text")
 
 
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(text number, first start, bytes): texts whole, or cut so that every start is in one piece with its whole string."""
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text) - LENGTH + 1, 0), TEXT_BYTES):
+            yield i, at, text[at : at + TEXT_BYTES + LENGTH - 1]
+
+
 def _anchors(docs: DataFrame, alone: bool) -> DataFrame:
     """Segments of the documents whose anchor is alone in its batch, with a witness (n = 0) for each other one; or else the others."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, key, tag = batch.column(2).cast(pa.binary()).to_pylist(), batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            parts, at = [], 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= TEXT_BYTES):
-                    size += len(texts[end])
-                    end += 1
-                part = segments(texts[at:end])
-                part["text"] = part["text"] + at
-                parts.append(part)
-                at = end
+            parts, held, size = [], [], 0
+            for piece in [*_pieces(texts), None]:
+                if held and (piece is None or size + len(piece[2]) > TEXT_BYTES):
+                    part = segments([p[2] for p in held])
+                    where = np.array([p[:2] for p in held], np.int64)
+                    parts.append(part | {"text": where[part["text"], 0], "at": part["at"] + where[part["text"], 1]})
+                    held, size = [], 0
+                if piece is not None:
+                    held.append(piece)
+                    size += len(piece[2])
             s = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]} if parts else segments([])
             s |= {"key": key[s["text"]], "tag": tag[s["text"]]}
             _, first, inverse, counts = np.unique(s["h"], return_index=True, return_inverse=True, return_counts=True)
