@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tessera.llm import oracles
 from tessera.llm.common import table
 
 
@@ -80,6 +81,4 @@ def queries():
 
 
 def oracle_sql():
-    from tessera.llm import line_templates
-
-    return {"op4_line_dedup": line_templates.SQL.format(docs="documents")}
+    return oracles.oracle_sql()
