@@ -141,7 +141,7 @@ def identify(docs: DataFrame, rows_per_lang: int = 2000, learn_from: DataFrame |
     return rows.mapInArrow(work, "doc_id bigint, held_out boolean, lang_pred string, score double, langs array<string>, proportions array<double>")
 
 
-def drop_unidentified(docs: DataFrame, least: float = 0.5, rows_per_lang: int = 2000) -> DataFrame:
+def drop_unidentified(docs: DataFrame, least: float = 0.3, rows_per_lang: int = 2000) -> DataFrame:
     """``docs`` without the rows whose language can't be told: null or letterless texts, and scores under ``least``. Same columns."""
     langs, table = train(docs, rows_per_lang)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
