@@ -9,9 +9,10 @@ of 137 starts at most.
     each repeated one, go to shards by anchor. A shard keeps sorted levels: a new batch is merge-scanned against every
     level, and levels of equal size merge.
 2.  Segments with a repeated anchor whose whole text repeats are removed as a whole. The others, at the edges of matches, are
-    fetched with one copy of each repeated segment of their anchor. A shard builds a suffix array of each batch of them by prefix doubling up
-    to 200 bytes, and again scans it against its levels and merges equal ones.
-3.  The repeated starts return to their documents, where the bytes they cover are cut out.
+    fetched with one copy of each repeated segment of their anchor. A shard makes an array of the suffixes at all their starts, sorted by
+    their first 200 bytes (by a hash of them; equal neighbours are compared byte by byte), and again scans it against its levels and
+    merges equal ones.
+3.  The repeated starts return to their documents, where the bytes they cover are cut out. Texts travel compressed.
 
 Anchors with very many different segments are compared by hashes of their 200-byte strings instead, which spread over all tasks.
 """
@@ -32,10 +33,10 @@ LENGTH, GRAM = 200, 64
 PLACES = LENGTH - GRAM + 1
 #: Bits of a position; the others of a hash decide which one is smallest, and the leftmost of equal ones does.
 POSITION = U(31)
-#: Bytes of text whose anchors are found at once (longer texts come in overlapping pieces), and of segments in one suffix array.
-TEXT_BYTES, ARRAY_BYTES = 500_000, 1_000_000
-#: Different segments of one anchor that a shard takes.
-SHARD_SEGMENTS = 2_000
+#: Bytes of text whose anchors are found at once (longer texts come in overlapping pieces), and segments in the array of a new batch.
+TEXT_BYTES, ARRAY_ROWS = 500_000, 4_000
+#: Bytes of segments that a shard takes on average, and different segments of one anchor at most.
+SHARD_BYTES, SHARD_SEGMENTS = 8_000_000, 2_000
 
 _GRAM_BYTES, _SEGMENT_BYTES = (np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) for k in (64, 200))
 _GRAM_BASE, _SEGMENT_BASE = 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15
@@ -126,54 +127,66 @@ def anchor_levels() -> Levels:
     return Levels(scan_anchors, lambda a, b: sorted_anchors({k: np.concatenate((a[k], b[k])) for k in a}), lambda x: len(x["h"]))
 
 
-def suffix_ranks(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Rank of the LENGTH-byte prefix of each start's suffix among all starts, by prefix doubling from 8 bytes on. Equal ranks: equal strings."""
-    padded = np.concatenate((data, np.zeros(LENGTH, np.uint8)))
-    word = np.zeros(len(padded) - 7, U)
-    for k in range(8):
-        word = (word << U(8)) | padded[k : len(padded) - 7 + k]
-    rank = np.unique(word, return_inverse=True)[1].astype(U)
-    width = 8
-    while 2 * width <= LENGTH:
-        rank = np.unique((rank[:-width] << U(32)) | rank[width:], return_inverse=True)[1].astype(U)
-        width *= 2
-    return np.unique((rank[starts] << U(32)) | rank[starts + LENGTH - width], return_inverse=True)[1]
-
-
 class Segments:
-    """A suffix array over the starts of some segments; ``hit`` marks starts whose string is found elsewhere."""
-
-    def __init__(self, rows: list[tuple], hits: list[np.ndarray] | None = None):
-        self.rows = rows  # (key, tag, at, n, asks, bytes)
-        self.n = np.array([r[3] for r in rows], np.int64)
-        self.bytes = sum(len(r[5]) for r in rows)
-        self.hit = np.zeros(int(self.n.sum()), bool) if hits is None else np.concatenate(hits)
-        if hits is None:
-            mark_equal([self])
-
-
-def mark_equal(sides: list[Segments]) -> None:
-    """Marks every start whose string another start has, in the suffix array of all sides together."""
-    data = np.frombuffer(b"".join(r[5] for s in sides for r in s.rows), np.uint8)
-    n = np.concatenate([s.n for s in sides])
-    size = n + LENGTH - 1
-    begin = np.cumsum(size) - size
-    starts = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    ranks = suffix_ranks(data, starts)
-    repeated = np.bincount(ranks)[ranks] > 1
-    at = 0
-    for s in sides:
-        s.hit |= repeated[at : at + len(s.hit)]
-        at += len(s.hit)
+    """Suffixes at the starts of some segments, sorted by a hash of their first LENGTH bytes; ``hit`` marks those found elsewhere."""
+
+    def __init__(self, data: np.ndarray, rows: dict[str, np.ndarray], begin: np.ndarray, keys: np.ndarray, place: np.ndarray, hit: np.ndarray):
+        self.data, self.rows, self.begin, self.keys, self.place, self.hit = data, rows, begin, keys, place, hit
+
+    @classmethod
+    def of(cls, data: np.ndarray, rows: dict[str, np.ndarray]) -> Segments:
+        """``data``: the segments' bytes, n + LENGTH - 1 each, one after another; ``rows``: key, tag, at, n and asks of each."""
+        n = rows["n"].astype(np.int64)
+        begin = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        keys = _prefix_hash(data, _SEGMENT_BYTES, _SEGMENT_BASE)(place, place + LENGTH)
+        order = np.argsort(keys, kind="stable")
+        made = cls(data, rows, begin, keys[order], place[order], np.zeros(len(order), bool))
+        equal = np.flatnonzero(made.keys[1:] == made.keys[:-1])
+        equal = equal[_same_bytes(data, made.place[equal], data, made.place[equal + 1])]
+        made.hit[equal] = made.hit[equal + 1] = True
+        return made
+
+    def scan(self, other: Segments) -> None:
+        if len(self.keys) and len(other.keys):
+            at = np.minimum(np.searchsorted(other.keys, self.keys), len(other.keys) - 1)
+            equal = np.flatnonzero(other.keys[at] == self.keys)
+            equal = equal[_same_bytes(self.data, self.place[equal], other.data, other.place[at[equal]])]
+            self.hit[equal] = other.hit[at[equal]] = True
+
+    def merge(self, other: Segments) -> Segments:
+        keys = np.concatenate((self.keys, other.keys))
+        order = np.argsort(keys, kind="stable")  # two sorted runs: one merge
+        return Segments(
+            np.concatenate((self.data, other.data)), {k: np.concatenate((v, other.rows[k])) for k, v in self.rows.items()}, np.concatenate((self.begin, other.begin + len(self.data))),
+            keys[order], np.concatenate((self.place, other.place + len(self.data)))[order], np.concatenate((self.hit, other.hit))[order],
+        )
+
+    def runs(self) -> pa.RecordBatch:
+        """(key, tag, first, end) of the runs of marked starts of the segments that ask."""
+        place = np.sort(self.place[self.hit])
+        row = np.searchsorted(self.begin, place, "right") - 1
+        asked = self.rows["asks"][row].astype(bool)
+        place, row = place[asked], row[asked]
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1] + 1) | (row[1:] != row[:-1])
+        first = np.flatnonzero(new)
+        length = np.diff(np.append(first, len(place)))
+        start = (self.rows["at"][row[first]] + place[first] - self.begin[row[first]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(self.rows["key"][row[first]]), pa.array(self.rows["tag"][row[first]]), pa.array(start), pa.array((start + length).astype(np.int32))], ["key", "tag", "first", "end"])
+
+
+def _same_bytes(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes of ``a`` at each i equal those of ``b`` at the same j."""
+    same = np.ones(len(i), bool)
+    for at in range(0, len(i), 20_000):
+        x, y = (np.lib.stride_tricks.sliding_window_view(d, LENGTH)[k[at : at + 20_000]] for d, k in ((a, i), (b, j)))
+        same[at : at + 20_000] = (x == y).all(axis=1)
+    return same
 
 
 def segment_levels() -> Levels:
-    return Levels(lambda a, b: mark_equal([a, b]), lambda a, b: Segments(a.rows + b.rows, [a.hit, b.hit]), lambda x: x.bytes)
-
-
-def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    edge = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return Levels(lambda a, b: a.scan(b), lambda a, b: a.merge(b), lambda x: len(x.data))
 
 
 #: key: doc_id, or a hash of the text where that is null; tag: a hash of the text, which tells rows with one doc_id apart.
@@ -242,30 +255,21 @@ def _repeated(anchors: DataFrame) -> DataFrame:
 RUNS = "key bigint, tag int, first int, end int"
 
 
-def _edge_runs(rows: DataFrame) -> DataFrame:
+def _edge_runs(rows: DataFrame, shards: int) -> DataFrame:
     """(key, tag, first, end): runs of repeated starts of the segments that ask, from rows dealt by h."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family, held, size = segment_levels(), [], 0
+        family = segment_levels()
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                held.append(row)
-                size += len(row[5])
-                if size >= ARRAY_BYTES:
-                    family.add(Segments(held))
-                    held, size = [], 0
-        if held:
-            family.add(Segments(held))
+            for at in range(0, batch.num_rows, ARRAY_ROWS):
+                part = batch.slice(at, ARRAY_ROWS)
+                body = b"".join(part.column(5).to_pylist())
+                names = ("key", "tag", "at", "n", "asks")
+                family.add(Segments.of(np.frombuffer(body, np.uint8), {k: part.column(i).to_numpy(zero_copy_only=False) for i, k in enumerate(names)}))
         for level in family.levels:
-            out, at = [], 0
-            for key, tag, start, n, asks, _ in level.rows:
-                if asks and level.hit[at : at + n].any():
-                    out += [(key, tag, start + int(a), start + int(b)) for a, b in zip(*_runs(level.hit[at : at + n]), strict=True)]
-                at += n
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["key", "tag", "first", "end"])
+            yield level.runs()
 
-    return rows.select("h", "key", "tag", "at", "n", "asks", "body").repartition(F.col("h")).drop("h").mapInArrow(work, RUNS)
+    return rows.select("h", "key", "tag", "at", "n", "asks", "body").repartition(shards, F.col("h")).drop("h").mapInArrow(work, RUNS)
 
 
 def _spread_runs(rows: DataFrame) -> DataFrame:
@@ -286,10 +290,45 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     asking = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("least = 1 and kinds > 1").select("h", "kinds")
     needed = kinds.join(asking, "h").select("h", "kinds", "one.*", (F.col("copies") == 1).alias("asks"))
     by_doc = needed.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("h", "kinds", "tag", "at", "n", "asks")).alias("need"))
-    fetched = keyed.select("key", "tag", F.encode("text", "UTF-8").alias("raw")).join(by_doc, F.col("key") == F.col("_k")).select("key", "tag", "raw", F.explode("need").alias("x")).where("x.tag = tag")
-    fetched = fetched.select("x.h", "x.kinds", "key", "tag", "x.at", "x.n", "x.asks", F.expr(f"substring(raw, x.at + 1, x.n + {LENGTH - 1})").alias("body"))
+    fetched = _fetched(_packed(keyed).join(by_doc, F.col("key") == F.col("_k")).select("key", "tag", "packed", "need"))
     fetched = written(fetched, "edges")
-    return whole.unionByName(_edge_runs(fetched.where(F.col("kinds") <= SHARD_SEGMENTS))).unionByName(_spread_runs(fetched.where(F.col("kinds") > SHARD_SEGMENTS)))
+    size = needed.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
+    near = _edge_runs(fetched.where(F.col("kinds") <= SHARD_SEGMENTS), -(-size // SHARD_BYTES) or 1)
+    return whole.unionByName(near).unionByName(_spread_runs(fetched.where(F.col("kinds") > SHARD_SEGMENTS)))
+
+
+def _packed(keyed: DataFrame) -> DataFrame:
+    """Texts compressed for a shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([pack(t.as_buffer()) for t in batch.column(3).cast(pa.binary())], pa.binary())], ["doc_id", "key", "tag", "packed"])
+
+    return keyed.mapInArrow(work, "doc_id bigint, key bigint, tag int, packed binary")
+
+
+def _fetched(rows: DataFrame) -> DataFrame:
+    """The bytes of the needed segments of each document."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        names = ("h", "kinds", "key", "tag", "at", "n", "asks", "body")
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                out = []
+                for key, tag, packed, need in zip(*(batch.column(k).slice(at, 200).to_pylist() for k in range(4)), strict=True):
+                    wanted = [x for x in need if x["tag"] == tag]
+                    text = unpack(packed) if wanted else b""
+                    out += [(x["h"], x["kinds"], key, tag, x["at"], x["n"], x["asks"], text[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 8, types, strict=True)], list(names))
+
+    return rows.mapInArrow(work, "h bigint, kinds bigint, key bigint, tag int, at int, n int, asks boolean, body binary")
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
@@ -302,9 +341,13 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     runs = repeated_starts(keyed).groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("tag", "first", "end")).alias("runs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_bytes, spans, kept = [], [], []
-            for tag, text, runs in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for tag, packed, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                text = unpack(packed)
                 own: list[list[int]] = []
                 for first, end in sorted((r["first"], r["end"] + LENGTH - 1) for r in runs or () if r["tag"] == tag):
                     if own and first <= own[-1][1]:
@@ -317,7 +360,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((n_bytes, spans, kept), types, strict=True))], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = keyed.join(runs, F.col("key") == F.col("_k"), "left").select("doc_id", "tag", "text", "runs")
+    joined = _packed(keyed).join(runs, F.col("key") == F.col("_k"), "left").select("doc_id", "tag", "packed", "runs")
     return joined.mapInArrow(work, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
