@@ -51,7 +51,7 @@ def test_query_against_brute_force(spark, sf_dir):
     assert len(got) == len(docs)
 
 
-@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
+@pytest.mark.parametrize("radius", [0, 1, 3, 4, 7, 20])
 def test_bit_slices(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
@@ -109,3 +109,57 @@ def test_odd_rows(odd, empty):
     assert by[1]["component_id"] == by[2]["component_id"] == by[3]["component_id"] == 1 and by[1]["fingerprint"] == "0" * 16
     assert by[4]["component_id"] == 4 and by[None] is not None
     assert m.near_duplicates(empty).count() == 0
+
+
+def jaccard(a, b, k=5):
+    def sets(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or {tuple(w)}
+
+    x, y = sets(a), sets(b)
+    return len(x & y) / len(x | y)
+
+
+def test_sketch_distance_tells_similarity():
+    rng = np.random.default_rng(2)
+    for target in (0.5, 0.8, 0.95):
+        got = []
+        for _ in range(30):
+            common = rng.integers(0, 1 << 40, 2000)
+            own = rng.integers(1 << 41, 1 << 42, (2, int(1000 * (1 / target - 1))))
+            a, b = (m.majority(_mixed(np.concatenate((common, o)), 8)) for o in own)
+            got.append(np.bitwise_count(a ^ b).sum() / 512)
+        n = 2000 + int(1000 * (1 / target - 1))
+        assert abs(np.mean(got) - m.expected_distance(2000 / (2 * n - 2000))) < 0.02
+
+
+def _mixed(h, n):
+    h = h.astype(np.uint64)[:, None] * m._ODD[:n]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
+def test_similar_documents(spark):
+    """Clear copies are found, clear strangers aren't, whatever the size of the group."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows, base = [], []
+    for g in range(30):
+        words = [word() for _ in range(int(rng.integers(60, 300)))]
+        base.append(g * 100)
+        for c in range(5):
+            copy = list(words)
+            for _ in range(c and max(1, len(words) // 250)):
+                copy[int(rng.integers(len(copy)))] = word()
+            rows.append((g * 100 + c, " ".join(copy)))
+    rows += [(9000, None), (9001, ""), (9002, " ")]
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows) and all(got[i] // 100 == i // 100 for i in got if i < 9000), "strangers stay apart"
+    same = [got[i] == i // 100 * 100 for i, t in rows if i < 9000 and jaccard(t, rows[[r[0] for r in rows].index(i // 100 * 100)][1]) >= 0.9]
+    assert np.mean(same) > 0.97 and {got[i] for i in (9000, 9001, 9002)} == {9000}
+
+
+def test_stage_on_odd_rows(odd, empty):
+    out = m.drop_near_duplicates(odd)
+    assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "7", "None"]
+    assert m.drop_near_duplicates(empty).count() == 0
