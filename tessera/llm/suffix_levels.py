@@ -190,7 +190,8 @@ def segment_levels() -> Levels:
 
 
 #: key: doc_id, or a hash of the text where that is null; tag: a hash of the text, which tells rows with one doc_id apart.
-ANCHORS = "h bigint, c bigint, key bigint, tag int, at int, n int"
+ANCHORS = "h bigint, c bigint, key bigint, tag int, at int, n int, copies int"
+_COLUMNS = (("h", "i8"), ("c", "i8"), ("key", "i8"), ("tag", "i4"), ("at", "i4"), ("n", "i4"), ("copies", "i4"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -207,7 +208,10 @@ def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
 
 
 def _anchors(docs: DataFrame, alone: bool) -> DataFrame:
-    """Segments of the documents whose anchor is alone in its batch, with a witness (n = 0) for each other one; or else the others."""
+    """Segments of the documents whose anchor is alone in its batch, with a witness (n = 0) for each other one; or else the others.
+
+    copies pre-aggregates a batch: of equal segments the first has their number and the others 0.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,13 +230,19 @@ def _anchors(docs: DataFrame, alone: bool) -> DataFrame:
             s |= {"key": key[s["text"]], "tag": tag[s["text"]]}
             _, first, inverse, counts = np.unique(s["h"], return_index=True, return_inverse=True, return_counts=True)
             single = counts[inverse] == 1
+            order = np.lexsort((s["c"], s["h"]))
+            new = np.ones(len(order), bool)
+            new[1:] = (s["h"][order[1:]] != s["h"][order[:-1]]) | (s["c"][order[1:]] != s["c"][order[:-1]])
+            leads = np.flatnonzero(new)
+            s["copies"] = np.zeros(len(order), np.int64)
+            s["copies"][order[leads]] = np.diff(np.append(leads, len(order)))
             take = np.flatnonzero(single if alone else ~single)
             if alone:
                 witness = first[counts > 1]
                 s["n"] = s["n"].copy()
                 s["n"][witness] = 0
                 take = np.concatenate((take, witness))
-            yield pa.RecordBatch.from_arrays([pa.array(s[k][take].astype(t)) for k, t in (("h", "i8"), ("c", "i8"), ("key", "i8"), ("tag", "i4"), ("at", "i4"), ("n", "i4"))], ["h", "c", "key", "tag", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[k][take].astype(t)) for k, t in _COLUMNS], [k for k, _ in _COLUMNS])
 
     return docs.select("key", "tag", "text").where(F.octet_length("text") >= LENGTH).mapInArrow(work, ANCHORS)
 
@@ -247,7 +257,7 @@ def _repeated(anchors: DataFrame) -> DataFrame:
             family.add(sorted_anchors(columns | {"hit": columns["n"] == 0}))
         for level in family.levels:
             take = level["hit"] & (level["n"] > 0)
-            yield pa.RecordBatch.from_arrays([pa.array(level[k][take]) for k in ("h", "c", "key", "tag", "at", "n")], ["h", "c", "key", "tag", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(level[k][take]) for k, _ in _COLUMNS], [k for k, _ in _COLUMNS])
 
     return anchors.repartition(F.col("h")).mapInArrow(work, ANCHORS)
 
@@ -284,9 +294,10 @@ def _spread_runs(rows: DataFrame) -> DataFrame:
 def repeated_starts(keyed: DataFrame) -> DataFrame:
     """(key, tag, first, end): runs of starts of LENGTH-byte strings that start anywhere else too."""
     flagged = written(_repeated(_anchors(keyed, True)).unionByName(_anchors(keyed, False)), "segments")
-    kinds = flagged.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("key", "tag", "at", "n")).alias("one"))
+    kinds = flagged.where("copies > 0").groupBy("h", "c").agg(F.sum("copies").alias("copies"), F.min(F.struct("key", "tag", "at", "n")).alias("one"))
     kinds = written(kinds, "kinds")
-    whole = flagged.join(kinds.where("copies > 1").select("h", "c"), ["h", "c"]).select("key", "tag", F.col("at").alias("first"), (F.col("at") + F.col("n")).alias("end"))
+    joined = flagged.where("copies = 1").join(kinds.where("copies > 1").select("h", "c"), ["h", "c"])
+    whole = flagged.where("copies != 1").unionByName(joined).select("key", "tag", F.col("at").alias("first"), (F.col("at") + F.col("n")).alias("end"))
     asking = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("least = 1 and kinds > 1").select("h", "kinds")
     needed = kinds.join(asking, "h").select("h", "kinds", "one.*", (F.col("copies") == 1).alias("asks"))
     by_doc = needed.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("h", "kinds", "tag", "at", "n", "asks")).alias("need"))
