@@ -196,6 +196,9 @@ pipeline("geo_near", "supplier", [PLACE, {"$geoNear": {"near": {"type": "Point",
 pipeline("geo_within", "supplier", [PLACE, {"$match": {"place": {"$geoWithin": {"$geometry": {"type": "Polygon", "coordinates": [[[-100, -50], [100, -50], [100, 50], [-100, 50], [-100, -50]], [[-20, -20], [20, -20], [20, 20], [-20, 20], [-20, -20]]]}}}}}, {"$project": {"_id": 0, "s_suppkey": 1}}], f"SELECT s_suppkey FROM {_XY} WHERE x BETWEEN -100 AND 100 AND y BETWEEN -50 AND 50 AND NOT (x BETWEEN -20 AND 20 AND y BETWEEN -20 AND 20)")
 
 
+pipeline("geo_intersects", "supplier", [PLACE, {"$set": {"route": [["$place.0", "$place.1"], [{"$add": ["$place.0", 30]}, "$place.1"]]}}, {"$match": {"route": {"$geoIntersects": {"$geometry": {"type": "Polygon", "coordinates": [[[-50, -30.5], [50, -30.5], [50, 30.5], [-50, 30.5], [-50, -30.5]]]}}}}}, {"$project": {"_id": 0, "s_suppkey": 1}}], f"SELECT s_suppkey FROM {_XY} WHERE y BETWEEN -30.5 AND 30.5 AND x <= 50 AND x + 30 >= -50")
+
+
 # writes
 @query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN round(c_acctbal + 100, 2) ELSE c_acctbal END AS c_acctbal, CASE WHEN c_mktsegment = 'BUILDING' THEN 'seen' END AS note FROM customer")
 def update_set_inc(db):
@@ -230,6 +233,67 @@ def change_diff(db):
     return changes.change_events(before, after, "o_orderkey", "db", "orders").select("operationType", F.col("documentKey.o_orderkey").alias("o_orderkey"))
 
 
+expression("expr_compare", "events", "event_id", {"c": {"$cmp": ["$value", 50]}, "g": {"$gte": ["$value", {"$multiply": ["$user_id", 1]}]}, "n": {"$ne": ["$event_type", "click"]}, "l": {"$lt": ["$v", 75]}, "o": {"$or": [{"$gt": ["$value", 90]}, {"$eq": ["$v", None]}]}}, "CAST(sign(value - 50) AS INTEGER) AS c, value >= user_id AS g, event_type <> 'click' AS n, CASE WHEN value > 50 THEN value < 75 ELSE true END AS l, value > 90 OR value <= 50 AS o", {"v": {"$cond": [{"$gt": ["$value", 50]}, "$value", None]}})
+expression("expr_zip_sort", "embeddings", "vec_id", {"z": {"$size": {"$zip": {"inputs": ["$embedding", {"$slice": ["$embedding", 5]}]}}}, "t": {"$arrayElemAt": [{"$sortArray": {"input": "$embedding", "sortBy": 1}}, 2]}, "c": {"$size": {"$concatArrays": ["$embedding", [1.5]]}}}, "5 AS z, list_sort(embedding)[3] AS t, 65 AS c")
+expression("expr_date_format", "orders", "o_orderkey", {"f": {"$dateToString": {"date": "$o_orderdate", "format": "%Y/%m/%d at %H:%M:%S, day %j"}}, "p": {"$dateToString": {"date": {"$dateFromString": {"dateString": {"$concat": [{"$toString": {"$year": "$o_orderdate"}}, "-03-01"]}}}, "format": "%d.%m.%Y"}}}, "strftime(o_orderdate, '%Y/%m/%d at %H:%M:%S, day %j') AS f, '01.03.' || year(o_orderdate) AS p")
+
+
+@query("SELECT vec_id, 2 AS n, embedding[63] AS a, embedding[64] AS b FROM embeddings")
+def find_slice(db):
+    return db["embeddings"].find({}, {"vec_id": 1, "embedding": {"$slice": -2}}).selectExpr("vec_id", "size(embedding) as n", "embedding[0] as a", "embedding[1] as b")
+
+
+@query("SELECT l_orderkey AS _id, CASE WHEN bool_or(l_quantity > 40) THEN 1 ELSE 0 END AS n FROM lineitem GROUP BY 1")
+def find_elem_match(db):
+    db.register("baskets", db["lineitem"].aggregate([{"$group": {"_id": "$l_orderkey", "lines": {"$push": "$$ROOT"}}}]))
+    return db["baskets"].find({}, {"lines": {"$elemMatch": {"l_quantity": {"$gt": 40}}}}).selectExpr("_id", "if(lines is null, 0, size(lines)) as n")
+
+
+@query("SELECT count(*) AS n FROM documents")
+def search_meta(db):
+    return db["documents"].aggregate([{"$searchMeta": {"text": {"query": "license", "path": "text"}}}]).selectExpr("count.total as n")
+
+
+@query("SELECT count(*) AS count FROM lineitem")
+def coll_stats(db):
+    return db["lineitem"].aggregate([{"$collStats": {"storageStats": {}}}]).select("count")
+
+
+@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45")
+def distinct_many(db):
+    db.register("baskets", db["lineitem"].aggregate([{"$match": {"l_quantity": {"$gt": 45}}}, {"$group": {"_id": "$l_orderkey", "l_partkey": {"$push": "$l_partkey"}}}]))
+    return db["baskets"].distinct_many("l_partkey")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey = 7 THEN 'replaced' ELSE s_name END AS s_name, CASE WHEN s_suppkey <> 7 THEN s_acctbal END AS s_acctbal FROM supplier")
+def replace_one(db):
+    return updates.replace(db["supplier"].frame, {"s_suppkey": 7}, {"s_name": "replaced"}, key="s_suppkey").select("s_suppkey", "s_name", "s_acctbal")
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT s_suppkey + 10000000, s_name FROM supplier")
+def insert_many(db):
+    new = db["supplier"].frame.selectExpr("s_suppkey + 10000000 as c_custkey", "s_name as c_name")
+    return updates.insert(db["customer"].frame.select("c_custkey", "c_name"), new, key="c_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') WHERE n BETWEEN 11 AND 30")
+def find_sorted(db):
+    return db["orders"].find({"o_orderstatus": "O"}, {"_id": 0, "o_orderkey": 1, "o_totalprice": 1}, {"o_totalprice": -1, "o_orderkey": 1}, 10, 20)
+
+
+@query("SELECT o_custkey AS _id, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderstatus = 'F' GROUP BY 1 UNION ALL SELECT o_custkey, round(-max(o_totalprice), 2) FROM orders GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'F') = 0")
+def out_and_merge(db):
+    db["orders"].aggregate([{"$group": {"_id": "$o_custkey", "total": {"$max": "$o_totalprice"}}}, {"$set": {"total": R2({"$multiply": ["$total", -1]})}}, {"$out": "totals"}])
+    db["orders"].aggregate([{"$match": {"o_orderstatus": "F"}}, {"$group": {"_id": "$o_custkey", "total": {"$sum": "$o_totalprice"}}}, {"$set": {"total": R2("$total")}}, {"$merge": {"into": "totals", "whenMatched": "replace"}}])
+    return db["totals"].frame.select("_id", "total")
+
+
+@query("SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def view_scan(db):
+    db.create("located", view_on="nation", pipeline=[{"$lookup": {"from": "region", "localField": "n_regionkey", "foreignField": "r_regionkey", "as": "r"}}, {"$unwind": "$r"}, {"$project": {"_id": 0, "n_nationkey": 1, "r_name": "$r.r_name"}}])
+    return db["located"].find({"r_name": {"$in": ["ASIA", "EUROPE"]}})
+
+
 # sampling, rows only
 pipeline("sample", "orders", [{"$sample": {"size": 50}}, {"$project": {"o_orderkey": 1}}])
 pipeline("sample_rate", "orders", [{"$match": {"$expr": {"$sampleRate": 0.1}}}, {"$project": {"o_orderkey": 1, "r": {"$rand": {}}}}])
