@@ -332,7 +332,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group of ``similar_documents``: the one with the smallest doc_id, one row of it. Same columns.
 
-    Rows without a doc_id can't stand for a group; they stay if no document with an id is linked to them, and all if any does.
+    Rows without a doc_id can't stand for a group: they all stay if one of them is linked to no document with an id, else they go.
     """
     groups = similar_documents(docs, shingle, similarity)
     keep = groups.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_nd_id")).distinct()

@@ -60,6 +60,15 @@ def test_ids_are_the_tokenizers(sf_dir, spark):
         assert m.encode(text, m.default_tokenizer()).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_random_texts():
+    exact, path = Tokenizer.from_file(m.default_tokenizer()), m.default_tokenizer()
+    rng = np.random.default_rng(6)
+    parts = [*map(chr, range(0x250)), *"\u0301\u0661\u2003\u2028\u3000\u4e2d\uac00\ufeff😀", "'s", " re", "<|endoftext|>", "  ", "\n\n"]
+    for _ in range(2000):
+        text = "".join(rng.choice(parts, int(rng.integers(1, 25))))
+        assert m.encode(text, path).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1025, 3000)
