@@ -28,6 +28,10 @@ def stage(*names: str):
     return add
 
 
+#: Stages that take the order from the scope or not at all, so that rows need no sort before them.
+UNSORTED = {"$group", "$sort", "$count", "$sortByCount", "$bucket", "$bucketAuto", "$setWindowFields"}
+
+
 def run_pipeline(s: Scope, stages: list[dict]) -> Scope:
     from tessera.operators import joins  # registers its stages
 
@@ -43,6 +47,9 @@ def run_pipeline(s: Scope, stages: list[dict]) -> Scope:
             raise PipelineError("a stage has exactly one field", 40323)
         if name not in STAGES:
             raise PipelineError(f"unrecognized pipeline stage {name}", 40324)
+        if name == "$sort" and at + 1 < len(stages) and next(iter(stages[at + 1])) in UNSORTED:
+            s, at = s.at(s.df, order=tuple(spec.items())), at + 1  # the next stage orders by keys itself
+            continue
         s = STAGES[name](s, spec)
         at += 1
     return s
