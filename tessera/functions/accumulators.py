@@ -122,27 +122,13 @@ def _custom(e: dict, s: Scope) -> Column:
     known = udfs.accumulator(e["init"])
     init_args = e.get("initArgs", [])
 
-    def run(*series):
+    def fold(*series):
         state = known.init(*init_args)
         for values in zip(*series, strict=True):
             state = known.accumulate(state, *values)
         return known.finalize(state)
 
-    args = [column(x, s) for x in e["accumulateArgs"]]
-    import pandas as pd
-
-    run.__annotations__ = {}
-    if len(args) == 1:
-
-        def one(a: pd.Series) -> object:
-            return run(a)
-
-        return F.pandas_udf(one, known.returns, F.PandasUDFType.GROUPED_AGG)(*args)
-
-    def many(a: pd.Series, b: pd.Series) -> object:
-        return run(a, b)
-
-    return F.pandas_udf(many, known.returns, F.PandasUDFType.GROUPED_AGG)(*args)
+    return F.pandas_udf(fold, known.returns, F.PandasUDFType.GROUPED_AGG)(*[column(x, s) for x in e["accumulateArgs"]])
 
 
 def _bound(value: Any, unbounded: int) -> int:

@@ -64,11 +64,15 @@ def _none_of(values: Column):
     return lambda x: ~F.exists(values, lambda y: y.eqNullSafe(x))
 
 
+def check_operators(update: dict) -> None:
+    if not update or not all(k.startswith("$") for k in update):
+        raise PipelineError("an update must have operators", 9)
+
+
 def update_columns(update: dict, s: Scope, inserting: bool = False) -> list[tuple[str, Column | None]]:
     """(path, new value) for each field an update document changes; None removes the field."""
     out: list[tuple[str, Column | None]] = []
-    if not update or not all(k.startswith("$") for k in update):
-        raise PipelineError("an update must have operators", 9)
+    check_operators(update)
     for op, fields in update.items():
         for name, arg in fields.items():
             if name == "_id" and op != "$setOnInsert":
@@ -113,16 +117,19 @@ def update_columns(update: dict, s: Scope, inserting: bool = False) -> list[tupl
     return out
 
 
-def _apply(df: DataFrame, s: Scope, match: Column, changes: list[tuple[str, Column | None]]) -> DataFrame:
+def _apply(df: DataFrame, s: Scope, match: Column, change: dict) -> DataFrame:
+    """One operator and field after another, so that each sees what those before it left."""
+    check_operators(change)
     df = df.withColumn("_match", match)
-    for name, new in changes:
-        there = not isinstance(path(name, s.at(df)).type, T.NullType)
-        if new is None:
-            if there:
-                df = set_path(df, name, F.when(~F.col("_match"), path(name, s.at(df)).column))
-        else:
-            old = path(name, s.at(df)).column if there else F.lit(None)
-            df = set_path(df, name, F.when(F.col("_match"), new).otherwise(old))
+    for op, fields in change.items():
+        for field, arg in fields.items():
+            for name, new in update_columns({op: {field: arg}}, s.at(df, hidden=s.hidden | {"_match"})):
+                old = path(name, s.at(df))
+                there = not isinstance(old.type, T.NullType)
+                if new is None and there:
+                    df = set_path(df, name, F.when(~F.col("_match"), old.column))
+                elif new is not None:
+                    df = set_path(df, name, F.when(F.col("_match"), new).otherwise(old.column if there else F.lit(None)))
     return df.drop("_match")
 
 
@@ -141,7 +148,7 @@ def update(df: DataFrame, filter_: dict, change: dict | list, *, one: bool = Fal
     if isinstance(change, list):
         hit = run_pipeline(s.at(df.where(match)), change).df
         return df.where(~match).unionByName(hit, allowMissingColumns=True)
-    out = _apply(df, s, match, update_columns(change, s))
+    out = _apply(df, s, match, change)
     if upsert and df.where(match).isEmpty():
         return out.unionByName(_new_row(df, filter_, change, s), allowMissingColumns=True)
     return out
@@ -151,9 +158,10 @@ def _new_row(df: DataFrame, filter_: dict, change: dict, s: Scope) -> DataFrame:
     """The document of an upsert: the filter's equalities, then the update."""
     equal = {k: v["$eq"] if isinstance(v, dict) else v for k, v in filter_.items() if not k.startswith("$") and (not isinstance(v, dict) or "$eq" in v)}
     row = df.sparkSession.range(1).select(*[_typed(equal.get(f.name), f.dataType).cast(f.dataType).alias(f.name) for f in df.schema.fields])
-    inner = s.at(row)
-    for name, new in update_columns(change, inner, inserting=True):
-        row = drop_path(row, name) if new is None else set_path(row, name, new)
+    for op, fields in change.items():
+        for field, arg in fields.items():
+            for name, new in update_columns({op: {field: arg}}, s.at(row), inserting=True):
+                row = drop_path(row, name) if new is None else set_path(row, name, new)
     return row
 
 

@@ -305,3 +305,36 @@ def test_global_row_number(db):
 
     got = global_row_number(db.spark.range(1000).repartition(7), [F.col("id").desc()], "n").collect()
     assert all(r["n"] == 1000 - r["id"] for r in got)
+
+
+def test_registered_accumulator(db):
+    from tessera.functions import udfs
+
+    udfs.register_accumulator("weighted", lambda start: (start, 0.0), lambda st, x, w: (st[0] + x * w, st[1] + w), "double", lambda st: st[0] / st[1])
+    t = put(db, [("a", 1.0, 1.0), ("a", 4.0, 2.0), ("b", 5.0, 3.0)], "g string, x double, w double")
+    got = rows(t.aggregate([{"$group": {"_id": "$g", "m": {"$accumulator": {"init": "weighted", "initArgs": [0.0], "accumulateArgs": ["$x", "$w"]}}}}]))
+    assert {r["_id"]: r["m"] for r in got} == {"a": 3.0, "b": 5.0}
+
+
+def test_bulk_and_commands(db):
+    put(db, [(1, "a"), (2, "b")], "_id int, s string")
+    db["t"].bulk_write([("insert_many", [{"_id": 3, "s": "c"}]), ("update_one", {"_id": 1}, {"$set": {"s": "z"}}), ("delete_one", {"_id": 2})])
+    assert {r["_id"]: r["s"] for r in rows(db["t"].find())} == {1: "z", 3: "c"}
+    assert db.run_command({"count": "t"}) == {"n": 2, "ok": 1} and rows(db.run_command({"distinct": "t", "key": "s"})) and "Physical Plan" in db.run_command({"explain": {"aggregate": "t", "pipeline": []}})
+    assert db.run_command({"listCollections": 1}) == ["t"]
+
+
+def test_export_and_load(db, tmp_path):
+    schema = put(db, [(1, ["a"]), (2, None)], "_id int, v array<string>").frame.schema
+    db.export(str(tmp_path))
+    again = Database(db.spark)
+    again.load(str(tmp_path), {"t": schema})
+    assert sorted(map(str, again["t"].frame.collect())) == sorted(map(str, db["t"].frame.collect()))
+
+
+def test_array_updates(db):
+    t = put(db, [(1, [1, 2, 2, 3], 12)], "_id int, v array<int>, bits int")
+    assert rows(t.update_many({}, {"$addToSet": {"v": {"$each": [3, 4]}}, "$bit": {"bits": {"and": 6, "or": 1}}}))[0] == {"_id": 1, "v": [1, 2, 2, 3, 4], "bits": 5}
+    assert rows(t.update_many({}, {"$pullAll": {"v": [2, 9]}}))[0]["v"] == [1, 3, 4]
+    assert rows(t.update_many({}, {"$pop": {"v": 1}, "$min": {"bits": 2}, "$mul": {"bits": 1}}))[0]["v"] == [1, 3]
+    assert rows(t.update_many({}, {"$push": {"v": {"$each": [8, 9], "$position": 1}}, "$unset": {"bits": ""}, "$set": {"new.deep": 7}}))[0] == {"_id": 1, "v": [1, 8, 9, 3], "bits": None, "new": {"deep": 7}}
