@@ -147,7 +147,7 @@ def local_bins(docs: DataFrame, path: str, size: int = 1024) -> DataFrame:
 
 
 def merged_bins(bins: DataFrame, size: int = 1024) -> DataFrame:
-    """A later round: each partition packs its underfull bins as items."""
+    """A later round: each partition packs its underfull bins as items, or their pieces where those need fewer bins."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -159,13 +159,18 @@ def merged_bins(bins: DataFrame, size: int = 1024) -> DataFrame:
                 held.clear()
                 fill = t.column(0).to_numpy().astype(np.int64)
                 counts = np.diff(t.column(1).offsets.to_numpy())
+                members = t.column(1).flatten()
                 groups, k = best_fit(fill, size)
-                yield from _bins_of(groups, k, fill, t.column(1).flatten(), counts, size)
+                lengths = members.field("length").to_numpy(zero_copy_only=False)
+                apart, fewer = best_fit(lengths, size)
+                if fewer < k:
+                    fill, counts, groups, k = lengths, np.ones(len(lengths), np.int64), apart, fewer
+                yield from _bins_of(groups, k, fill, members, counts, size)
 
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                n += batch.num_rows
+                n += len(batch.column(1).flatten())
             if n >= RUN:
                 yield from packed()
                 n = 0
