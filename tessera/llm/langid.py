@@ -67,7 +67,7 @@ def train(docs: DataFrame, rows_per_lang: int = 2000) -> tuple[list[str], np.nda
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cells, counts = trigrams(text)
                 if len(cells):
-                    sums.setdefault(lang, np.zeros(CELLS, np.int64))[cells] += np.minimum(counts, 20)
+                    sums.setdefault(lang, np.zeros(CELLS, np.int64))[cells] += counts
             for lang, total in sums.items():
                 cells = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(total[cells])], ["lang", "cell", "n"])
@@ -98,7 +98,7 @@ def infer(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, f
     logs = table[cells]
     peak = logs.max(axis=1)
     likes = np.exp(logs - peak[:, None])
-    counts = np.minimum(counts, 20).astype(float)
+    counts = counts.astype(float)
     total = counts.sum()
     share, best = mixture(counts, likes)
     use = np.flatnonzero(share >= 0.02)  # the rest can't pay for itself
@@ -124,8 +124,8 @@ def identify(docs: DataFrame, rows_per_lang: int = 2000, learn_from: DataFrame |
     lang_pred is the language with the largest proportion in the selected set, ``und`` where the text is null or has no
     letter, or where nothing could be learned (no row with a lang). score (0 to 1) is its proportion, lowered where no
     likelihood favours it. lang, source and doc_id are never inputs of a prediction. Repeated rows and rows with a null doc_id get
-    their own results; other columns are not read. A trigram counts 20 times in a document at most, so
-    that a repeated word doesn't outweigh the rest.
+    their own results; other columns are not read. Every trigram counts as often as it occurs, so proportions don't depend on a
+    text's length.
     """
     langs, table = train(docs if learn_from is None else learn_from, rows_per_lang)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))  # CELLS x MOST_LANGS numbers at most

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from tessera.llm import langid as m
 from tessera.llm.queries import queries
@@ -30,6 +31,18 @@ def test_two_languages(spark):
     assert got[1001]["lang_pred"] == got[1002]["lang_pred"] == "und" and got[1002]["score"] == 0
 
 
+@pytest.mark.parametrize("share", [0.6, 0.7, 0.8])
+def test_proportions_do_not_depend_on_length(spark, sf_dir, share):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    langs, table = m.train(docs)
+    texts = {x: "\n".join(r["text"] for r in docs.where(f"lang = '{x}' and text is not null").orderBy("doc_id").limit(100).collect()) for x in langs}
+    for other in ("es", "fr", "de"):
+        for size in (1000, 10_000, 100_000, 300_000, 1_000_000):
+            parts = [(texts[x] * (n // len(texts[x]) + 1))[:n] for x, n in (("en", int(size * share)), (other, int(size * (1 - share))))]
+            lang, _, names, shares = m.infer("\n".join(parts), langs, table)
+            assert lang == "en" and abs(dict(zip(names, shares, strict=True))["en"] - share) < 0.1, (other, size)
+
+
 def test_odd_rows(odd, empty):
     rows = m.identify(odd).collect()
     assert len(rows) == odd.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
