@@ -8,7 +8,8 @@ fingerprints in one word, so that one XOR gives bit i of 64 distances, which car
 64 x 64 comparisons is abandoned once all its distances exceed the radius.
 
 For a similarity of word shingles instead of a radius, sketches have several words of 64 bits. Two documents meet where a band of
-their bits is equal; the same comparison of the first word sorts out most pairs, all words decide on the rest.
+their bits is equal; the same comparison of the first word sorts out most pairs, all words make candidates of the rest. Candidates
+come as components, within which all pairs are compared by their shingle sets.
 """
 
 from __future__ import annotations
@@ -62,7 +63,12 @@ def fingerprint(text: bytes | None, shingle: int = 4) -> int:
 
 def sketch(text: bytes | None, shingle: int, n_words: int) -> np.ndarray:
     """``n_words`` independent fingerprints of one set of shingles, each shingle counted once."""
-    h = np.unique(shingle_hashes(text, shingle))[:, None] * _ODD[:n_words]
+    return sketch_of(np.unique(shingle_hashes(text, shingle)), n_words)
+
+
+def sketch_of(hashes: np.ndarray, n_words: int) -> np.ndarray:
+    """The sketch of a set of shingle hashes."""
+    h = hashes[:, None] * _ODD[:n_words]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     return majority(h ^ (h >> np.uint64(29)))
 
@@ -113,7 +119,8 @@ def _planes(lanes: np.ndarray) -> np.ndarray:
     for at in range(0, len(lanes), 1024):
         part = np.ascontiguousarray(lanes[at : at + 1024])
         bits = np.unpackbits(part.view(np.uint8).reshape(len(part), 64, 8), axis=2, bitorder="little")
-        out[at : at + 1024] = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u8")[:, :, 0]
+        packed = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little"))
+        out[at : at + 1024] = packed.view("<u8")[:, :, 0]
     return out
 
 
@@ -279,10 +286,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Bits of a band, recall of a pair at the wanted similarity through the bands, and words that sketches have at least and at most.
-BAND, BAND_RECALL, WORDS = 12, 0.95, (8, 16)
-#: Radius in the first word: above that of a similar pair by more than three standard deviations.
-FIRST_WORD = 20
+#: Least bits of a band, recall of a pair at the wanted similarity through the bands, and words that sketches have at least and at most.
+BAND, BAND_RECALL, WORDS = 8, 0.999, (8, 16)
+#: Radius in the first word: above that of a similar pair by more than four standard deviations.
+FIRST_WORD = 22
+#: Pairs are candidates up to a distance of so many standard deviations above that of the wanted similarity.
+MARGIN = 4.5
+#: Shingles of a block, shingles that a document counts for at least, and documents from which a shingle gets a matrix column.
+SHINGLES, LEAST_SHINGLES, COLUMN = 1 << 17, 128, 32
 
 
 def expected_distance(similarity: float) -> float:
@@ -298,30 +309,103 @@ def plan_bands(n: int, similarity: float) -> tuple[int, int, int]:
     return bits, min(bands, words * (64 // bits)), words
 
 
+def similar_pairs(sets: list[np.ndarray], split: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs (i, j) of sets with this Jaccard similarity or more: i before ``split`` and j not, or all i < j if nothing is behind it."""
+    n, sizes = len(sets), np.array([len(x) for x in sets], np.int64)
+    values, doc = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.lexsort((doc, values))
+    values, doc = values[order], doc[order]
+    _, shingle, often = np.unique(values, return_inverse=True, return_counts=True)
+    dense = often >= COLUMN
+    column = (np.cumsum(dense) - 1)[shingle]
+    common = np.zeros((n, n), np.int64)
+    wide = dense[shingle]
+    for at in range(0, int(dense.sum()), 2048):
+        some = wide & (column >= at) & (column < at + 2048)
+        part = np.zeros((n, 2048), np.float32)
+        part[doc[some], column[some] - at] = 1
+        if split < n:
+            common[:split, split:] += (part[:split] @ part[split:].T).astype(np.int64)
+        else:
+            common += (part @ part.T).astype(np.int64)
+    shingle, doc = shingle[~wide], doc[~wide]
+    for k in range(1, COLUMN):
+        same = np.flatnonzero(shingle[k:] == shingle[:-k])
+        if not len(same):
+            break
+        np.add.at(common, (doc[same], doc[same + k]), 1)
+    i, j = np.nonzero(common)
+    right = (i < split) & (j >= split) if split < n else i < j
+    i, j = i[right], j[right]
+    both = common[i, j]
+    close = both / (sizes[i] + sizes[j] - both) >= similarity
+    return i[close], j[close]
+
+
+def _verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect the same ids as all pairs of a candidate component with this similarity do; each text is read once."""
+    comps = written(connected_components(candidates), "candidates")
+    members = comps.select("node", "component").union(comps.select(F.col("component").alias("node"), "component").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(members, "node").select("component", "node", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2).cast(pa.binary())]
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["component", "node", "s"])
+
+    sets = texts.mapInArrow(read, "component long, node long, s array<bigint>").withColumn("h", F.xxhash64("s"))
+    sets = written(sets.dropDuplicates(["component", "node", "h"]), "shingles")
+    weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
+    pairs = block_pairs(sets, ["component"], F.struct("node", "s"), F.xxhash64("node", "h"), SHINGLES, weight)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sides = [batch.column(k)[row].values for k in (0, 1) if batch.column(k)[row].is_valid]
+                ids = np.concatenate([x.field("node").to_numpy(zero_copy_only=False) for x in sides])
+                each = [s.values.to_numpy(zero_copy_only=False) for x in sides for s in x.field("s")]
+                i, j = similar_pairs(each, len(sides[0]), similarity)
+                a, b = stars(ids[i], ids[j])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return pairs.select("a", "b").mapInArrow(compare, "a long, b long")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: documents linked where their sketches put the similarity at ``similarity`` or more.
+    """(doc_id, component_id) for every row of ``docs``: documents linked where their similarity is ``similarity`` or more.
 
-    The similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles. With 512 bits the estimate has a
-    standard error of about 0.04 around 0.8. Rules for null, empty and repeated rows are those of ``near_duplicates``; texts with fewer
-    words are one shingle, those without words are alike.
+    The similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles. Sketches only find candidates, down to a lower
+    similarity; a link is always verified on the sets. Rules for null, empty and repeated rows are those of ``near_duplicates``; texts with
+    fewer words are one shingle, those without words are alike.
     """
     bits, bands, n_words = plan_bands(docs.count(), similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
-            made = [sketch(t.as_py(), shingle, n_words).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            ids, made = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = np.unique(shingle_hashes(t.as_py(), shingle))
+                made.append(sketch_of(hashes, n_words).view(np.int64))
+                ids.append((xxhash.xxh64_intdigest(hashes.tobytes(), 1), xxhash.xxh64_intdigest(hashes.tobytes(), 2)))
             flat = np.concatenate(made) if made else np.empty(0, np.int64)
+            h = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * n_words), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc_id", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "words", "h1", "h2"])
 
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, words array<bigint>")
-    made = written(made.select("doc_id", "words", F.xxhash64("words").alias("h1"), F.xxhash64("words", F.lit(1)).alias("h2")), "sketches")
+    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, words array<bigint>, h1 long, h2 long")
+    made = written(made, "sketches")
     classes = written(made.groupBy("h1", "h2", "words").agg(F.min("doc_id").alias("rep")), "classes")
     each = 64 // bits
     entries = F.array(*[F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(F.col("words")[t // each], bits * (t % each)).bitwiseAND(F.lit((1 << bits) - 1)).alias("key")) for t in range(bands)])
     rows = classes.where("rep is not null").select("rep", "words", F.explode(entries).alias("e")).select("rep", "words", "e.t", "e.key")
     pairs = block_pairs(rows, ["t", "key"], F.struct("words", "rep"), F.xxhash64("rep"), BLOCK // 4)
-    links = _linked(pairs, FIRST_WORD, int(64 * n_words * expected_distance(similarity)))
+    share, n_bits = expected_distance(similarity), 64 * n_words
+    candidates = _linked(pairs, FIRST_WORD, int(n_bits * share + MARGIN * (n_bits * share * (1 - share)) ** 0.5))
+    links = _verified(docs, candidates, shingle, similarity)
     ids = made.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("doc_id")
     twice = made.join(ids, "doc_id").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     comps = connected_components(links.union(twice))

@@ -159,6 +159,39 @@ def test_similar_documents(spark):
     assert np.mean(same) > 0.97 and {got[i] for i in (9000, 9001, 9002)} == {9000}
 
 
+def test_similarity_is_exact(spark, monkeypatch):
+    """Against brute force around 0.8, and with a chain of documents at 0.72 to 0.78, also in small blocks."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(150):
+        words = [f"w{g}x{k}" for k in range(int(rng.integers(40, 400)))]
+        for c in range(4):
+            copy = list(words)
+            for k in range(int(rng.integers(0, 1 + len(words) // 35)) if c else 0):
+                copy[int(rng.integers(len(copy)))] = f"c{g}x{c}x{k}"
+            rows.append((g * 10 + c, " ".join(copy)))
+    for c in range(40):
+        rows.append((5000 + c, " ".join(f"line{k}" if k < 280 else f"own{c}x{k}" for k in range(325))))
+    texts = dict(rows)
+    pairs = [(a, b) for a in texts for b in texts if a < b and (a // 10 == b // 10 or a >= 5000) and jaccard(texts[a], texts[b]) >= 0.8]
+    want = slow_components(pairs, list(texts))
+    assert all(want[5000 + c] == 5000 + c for c in range(40))
+    for size in (1 << 17, 2000):
+        monkeypatch.setattr(m, "SHINGLES", size, raising=False)
+        got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        wrong = [i for i in got if got[i] != want[i]]
+        assert len(got) == len(rows) and all(want[i] != got[i] >= i - 9 for i in wrong) and len(wrong) <= 2, wrong
+
+
+@pytest.mark.parametrize("split", [40, 90])
+def test_similar_pairs(split):
+    rng = np.random.default_rng(split)
+    sets = [np.unique(np.concatenate((np.arange(80), rng.integers(0, 300, rng.integers(0, 40))))) for _ in range(80)] + [np.arange(500, 500 + n) for n in range(10)]
+    i, j = m.similar_pairs(sets, split, 0.8)
+    want = {(a, b) for a in range(90) for b in range(a + 1, 90) if (split == 90 or a < split <= b) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])) > 0}
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
+
+
 def test_stage_on_odd_rows(odd, empty):
     out = m.drop_near_duplicates(odd)
     assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "7", "None"]
