@@ -4,14 +4,13 @@ Vectors are projected on many random lines. On every line the values are sorted
 its own value is an interval of ranks; a pair's collisions are the lines on which it falls into that interval. Pairs
 that collide on as many lines as a pair at the threshold does with the wanted recall are verified by their cosine in double precision.
 
-Counting touches all pairs of a cell. Where labels have more vectors than fit a cell, cells come from several tables
-of coarser projections, as many as keep the recall; a pair counts in the first table in which it shares a cell.
+Counting touches all pairs of a label, whatever its size, in pairs of blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, comb, erf, log, sqrt
+from math import comb, erf, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +24,8 @@ from tessera.llm.near_simhash import stars
 
 #: Lines, half width of a window in standard deviations of the difference of two vectors at the threshold, and recall of the count.
 LINES, HALF_WIDTH, RECALL = 32, 2.0, 0.9999
-#: Distinct vectors of one label that make up one cell at most on average, and vectors of a block.
+#: Vectors of a block. CELL bounds nothing any more: labels of every size are compared whole.
 CELL, BLOCK = 20_000, 2048
-#: Width of a coarse cell on one line, and recall of the tables together.
-CELL_WIDTH, CELL_RECALL = 2.0, 0.995
 #: Queries counted at once.
 QUERIES = 256
 
@@ -44,13 +41,6 @@ def least_count(lines: int = LINES, half_width: float = HALF_WIDTH, recall: floa
     return 0
 
 
-def tables_for(n: int, distance: float) -> tuple[int, int]:
-    """(tables, coarse lines of each) for ``n`` vectors of a label, so that cells have CELL vectors or fewer on average."""
-    coarse = max(0, ceil(log(max(n, 1) / CELL) / log(2)))
-    near = 1 - distance * sqrt(2 / np.pi) / CELL_WIDTH
-    return (1, 0) if not coarse else (ceil(log(1 - CELL_RECALL) / log(1 - near**coarse)), coarse)
-
-
 def _lines(dim: int, n: int, what: int) -> np.ndarray:
     return np.random.default_rng((dim, n, what)).normal(size=(dim, n))
 
@@ -75,19 +65,17 @@ def _side(lists: pa.ListArray, row: int):
         return None
     vectors = items.field("v")
     dim = len(vectors[0])
-    keys = items.field("keys")
     return (
         items.field("rep").to_numpy(zero_copy_only=False),
         items.field("n").to_numpy(zero_copy_only=False),
-        keys.flatten().to_numpy(zero_copy_only=False).reshape(len(items), -1),
         vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim),
     )
 
 
-def _pairs(a, b, t: int, threshold: float, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of two sides (or of one with itself) whose cosine reaches the threshold, if table ``t`` is their first common one."""
-    lines = _lines(a[3].shape[1], LINES, 1)
-    pa_, pb_ = a[3] @ lines, b[3] @ lines
+def _pairs(a, b, threshold: float, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of two sides (or of one with itself) whose cosine reaches the threshold."""
+    lines = _lines(a[2].shape[1], LINES, 1)
+    pa_, pb_ = a[2] @ lines, b[2] @ lines
     least = least_count()
     for at in range(0, len(a[0]), QUERIES):
         hit = collisions(pa_[at : at + QUERIES], pb_, HALF_WIDTH * distance) >= least
@@ -97,12 +85,8 @@ def _pairs(a, b, t: int, threshold: float, distance: float) -> Iterator[tuple[np
             i, j = i[i < j], j[i < j]
         for k in range(0, len(i), 100_000):
             x, y = i[k : k + 100_000], j[k : k + 100_000]
-            close = np.einsum("ij,ij->i", a[3][x], b[3][y]) >= threshold
-            x, y = x[close], y[close]
-            if t:
-                first = ~(a[2][x, :t] == b[2][y, :t]).any(axis=1)
-                x, y = x[first], y[first]
-            yield x, y
+            close = np.einsum("ij,ij->i", a[2][x], b[2][y]) >= threshold
+            yield x[close], y[close]
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
@@ -120,40 +104,31 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     usable = rows.where("ok")
     classes = usable.groupBy("label", "h1", "h2", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
-    largest = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     distance = sqrt(2 - 2 * threshold)
-    n_tables, coarse = tables_for(largest, distance)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units, keys = [], []
+            made = []
             for v in batch.column(2).to_pylist():
                 v = np.array(v)
                 v = v / np.abs(v).max()
                 v /= sqrt(v @ v)
-                units.append(v.tolist())
-                if coarse:
-                    shift = np.random.default_rng(7).random((n_tables, coarse)) * CELL_WIDTH
-                    at = np.floor(((v @ _lines(len(v), n_tables * coarse, 2)).reshape(n_tables, coarse) + shift) / CELL_WIDTH).astype(np.int64)
-                    keys.append([int(k) for k in at @ (np.int64(1_000_003) ** np.arange(coarse, dtype=np.int64))])
-                else:
-                    keys.append([0])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.list_(pa.int64()))], ["rep", "n", "v", "keys"])
-
-    unit = classes.select("rep", "n", "v").mapInArrow(cells, "rep bigint, n bigint, v array<double>, keys array<bigint>")
+                made.append(v.tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.list_(pa.float64()))], ["rep", "n", "v"])
+
+    unit = classes.select("rep", "n", "v").mapInArrow(units, "rep bigint, n bigint, v array<double>")
     unit = unit.join(classes.select("rep", "label"), "rep").withColumn("dim", F.size("v"))
-    entries = unit.select("label", "dim", "rep", "n", "v", "keys", F.posexplode("keys").alias("t", "key"))
-    pairs = block_pairs(entries, ["label", "dim", "t", "key"], F.struct("rep", "n", "keys", "v"), F.xxhash64("rep"), BLOCK)
+    pairs = block_pairs(unit, ["label", "dim"], F.struct("rep", "n", "v"), F.xxhash64("rep"), BLOCK)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                t, a, b = batch.column(0)[row].as_py(), _side(batch.column(1), row), _side(batch.column(2), row)
+                a, b = _side(batch.column(0), row), _side(batch.column(1), row)
                 b = a if b is None else b
                 ids, sizes = (a[0], a[1]) if a is b else (np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1])))
                 shift = 0 if a is b else len(a[0])
                 links, root_a, root_b = np.zeros(len(ids), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-                for x, y in _pairs(a, b, t, threshold, distance):
+                for x, y in _pairs(a, b, threshold, distance):
                     np.add.at(links, x, sizes[y + shift])
                     np.add.at(links, y + shift, sizes[x])
                     root_a, root_b = stars(np.concatenate((root_a, ids[x])), np.concatenate((root_b, ids[y + shift])))
@@ -162,7 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
                 nodes = ids[found]
                 yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links[found]), pa.array([to.get(i, i) for i in nodes.tolist()], pa.int64())], ["node", "links", "to"])
 
-    found = written(pairs.select("t", "a", "b").repartition(F.xxhash64(F.col("a")[0]["rep"], F.col("b")[0]["rep"], "t")).mapInArrow(compare, "node bigint, links bigint, to bigint"), "links")
+    found = written(pairs.select("a", "b").repartition(F.xxhash64(F.col("a")[0]["rep"], F.col("b")[0]["rep"])).mapInArrow(compare, "node bigint, links bigint, to bigint"), "links")
     comps = connected_components(found.select("node", "to"), "node", "to")
     sums = found.groupBy("node").agg(F.sum("links").alias("more"))
     ends = classes.select("label", "h1", "h2", "rep", "n").join(sums, F.col("rep") == sums["node"], "left").drop("node")

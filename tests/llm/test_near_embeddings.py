@@ -56,6 +56,13 @@ def test_blocks_and_cells(spark, monkeypatch, cell, block):
         assert got == want
 
 
+def test_every_size_is_compared_whole(spark, monkeypatch):
+    monkeypatch.setattr(m, "CELL", 10)
+    monkeypatch.setattr(m, "BLOCK", 50)
+    rows = made(1500, seed=5)
+    assert rows_of(m.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))) == slow(rows)
+
+
 def test_count_calibration():
     rng = np.random.default_rng(0)
     d = np.sqrt(2 - 2 * 0.93)
