@@ -19,8 +19,6 @@ from tessera.llm.common import held_out, share_of
 
 #: Trigrams fall into so many cells.
 CELLS = 1 << 16
-#: Learned languages; a corpus with more needs a longer table on the driver.
-MOST_LANGS = 500
 #: Expectation-maximisation steps for each set of languages.
 STEPS = 12
 
@@ -54,7 +52,7 @@ def train(docs: DataFrame, rows_per_lang: int = 2000) -> tuple[list[str], np.nda
     language, chosen by a hash of doc_id. Only cell counts reach the driver: CELLS a language at most.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return [], np.zeros((CELLS, 0))
     langs = sorted(sizes)
@@ -128,7 +126,7 @@ def identify(docs: DataFrame, rows_per_lang: int = 2000, learn_from: DataFrame |
     text's length.
     """
     langs, table = train(docs if learn_from is None else learn_from, rows_per_lang)
-    model = docs.sparkSession.sparkContext.broadcast((langs, table))  # CELLS x MOST_LANGS numbers at most
+    model = docs.sparkSession.sparkContext.broadcast((langs, table))  # CELLS numbers a language
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
@@ -142,7 +140,10 @@ def identify(docs: DataFrame, rows_per_lang: int = 2000, learn_from: DataFrame |
 
 
 def drop_unidentified(docs: DataFrame, least: float = 0.3, rows_per_lang: int = 2000) -> DataFrame:
-    """``docs`` without the rows whose language can't be told: null or letterless texts, and scores under ``least``. Same columns."""
+    """``docs`` without the rows whose language can't be told: null or letterless texts, and scores under ``least``. Same columns.
+
+    Where no language could be learned (no row with a lang outside the held-out quarter), every text with a letter stays.
+    """
     langs, table = train(docs, rows_per_lang)
     model = docs.sparkSession.sparkContext.broadcast((langs, table))
     place = docs.columns.index("text")
@@ -150,7 +151,11 @@ def drop_unidentified(docs: DataFrame, least: float = 0.3, rows_per_lang: int =
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, table = model.value
         for batch in batches:
-            found = [infer(t, langs, table) for t in batch.column(place).cast(pa.string()).to_pylist()]
+            texts = batch.column(place).cast(pa.string()).to_pylist()
+            if not langs:
+                yield batch.filter(pa.array([len(trigrams(t)[0]) > 0 for t in texts], pa.bool_()))
+                continue
+            found = [infer(t, langs, table) for t in texts]
             yield batch.filter(pa.array([lang != "und" and score >= least for lang, score, _, _ in found], pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

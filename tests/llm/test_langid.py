@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import langid as m
 from tessera.llm.queries import queries
@@ -48,3 +49,14 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count() and {r["lang_pred"] for r in rows if r["doc_id"] in (1, 2, 3)} == {"und"}
     assert m.identify(empty).count() == 0
     assert {r["lang_pred"] for r in m.identify(odd, learn_from=empty).collect()} == {"und"}
+
+
+def test_nothing_learned_keeps_texts_with_letters(odd):
+    kept = m.drop_unidentified(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["4", "4", "5", "6", "7", "None"]
+
+
+def test_more_than_500_languages(spark):
+    docs = spark.range(2400).selectExpr("id as doc_id", "concat('some words ', id % 600) as text", "concat('l', id % 600) as lang")
+    known = docs.where(~m.held_out()).select("lang").distinct().count()
+    assert known > 500 and len(m.train(docs)[0]) == known
