@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import block_pairs
+from tessera.llm.blocks import block_pairs, blocks
 from tessera.llm.common import written
 from tessera.llm.components import connected_components
 
@@ -286,27 +286,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return fps.join(found, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Least bits of a band, recall of a pair at the wanted similarity through the bands, and words that sketches have at least and at most.
-BAND, BAND_RECALL, WORDS = 8, 0.999, (8, 16)
+#: Least bits of a band, and recall of a pair at the wanted similarity through the bands.
+BAND, BAND_RECALL = 8, 0.999
 #: Radius in the first word: above that of a similar pair by more than four standard deviations.
 FIRST_WORD = 22
 #: Pairs are candidates up to a distance of so many standard deviations above that of the wanted similarity.
 MARGIN = 4.5
 #: Shingles of a block, shingles that a document counts for at least, and documents from which a shingle gets a matrix column.
 SHINGLES, LEAST_SHINGLES, COLUMN = 1 << 17, 128, 32
+#: Rounds in which the documents of a large candidate component meet in other blocks before the groups that are left are compared whole.
+MIXINGS = 2
 
 
 def expected_distance(similarity: float) -> float:
-    """The share of bits in which sketches of shingle sets of this Jaccard similarity differ on average, for sets of equal size."""
+    """The share of bits in which sketches of shingle sets of this Jaccard similarity differ on average, for sets of equal size (the worst case)."""
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def band_recall(bits: int, each: int, words: int, distance: float) -> float:
+    """The probability that two sketches agree on all bits of some band, for ``each`` bands of random bits in every word."""
+    miss = sum(comb(64, x) * distance**x * (1 - distance) ** (64 - x) * (1 - comb(64 - x, bits) / comb(64, bits)) ** each for x in range(65))
+    return 1 - miss**words
+
+
 def plan_bands(n: int, similarity: float) -> tuple[int, int, int]:
-    """(bits of a band, bands, words of a sketch) for ``n`` documents: cells of a band have BLOCK documents or fewer on average."""
+    """(bits of a band, bands in a word, words of a sketch) for ``n`` documents.
+
+    A cell of a band has BLOCK documents or fewer on average, and pairs at ``similarity`` meet with BAND_RECALL, however large n is.
+    Among the choices the one whose entries take the least space is made.
+    """
     bits = max(BAND, int(np.ceil(np.log2(max(n, 1) / BLOCK))))
-    bands = int(np.ceil(np.log(1 - BAND_RECALL) / np.log(1 - (1 - expected_distance(similarity)) ** bits)))
-    words = min(max(-(-bands // (64 // bits)), WORDS[0]), WORDS[1])
-    return bits, min(bands, words * (64 // bits)), words
+    distance, best = expected_distance(similarity), None
+    for words in range(8, 33, 4):
+        each = 1
+        while band_recall(bits, each, words, distance) < BAND_RECALL:
+            each += max(1, each // 20)
+        cost = words * each * (words + 2)
+        if best is None or cost < best[0]:
+            best = cost, each, words
+    return bits, best[1], best[2]
+
+
+def band_masks(bits: int, each: int, words: int) -> list[int]:
+    """A signed mask of ``bits`` bits for each band, ``each`` for every word in turn; as many as fit have no bit in common."""
+    out = []
+    for w in range(words):
+        rng = np.random.default_rng((bits, w))
+        order: list[int] = []
+        for _ in range(each):
+            if len(order) < bits:
+                order = rng.permutation(64).tolist()
+            mask = sum(1 << b for b in order[:bits])
+            order = order[bits:]
+            out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
 
 
 def similar_pairs(sets: list[np.ndarray], split: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -342,23 +375,8 @@ def similar_pairs(sets: list[np.ndarray], split: int, similarity: float) -> tupl
     return i[close], j[close]
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): links that connect the same ids as all pairs of a candidate component with this similarity do; each text is read once."""
-    comps = written(connected_components(candidates), "candidates")
-    members = comps.select("node", "component").union(comps.select(F.col("component").alias("node"), "component").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string")).join(members, "node").select("component", "node", "text")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2).cast(pa.binary())]
-            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["component", "node", "s"])
-
-    sets = texts.mapInArrow(read, "component long, node long, s array<bigint>").withColumn("h", F.xxhash64("s"))
-    sets = written(sets.dropDuplicates(["component", "node", "h"]), "shingles")
-    weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
-    pairs = block_pairs(sets, ["component"], F.struct("node", "s"), F.xxhash64("node", "h"), SHINGLES, weight)
+def _compared(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the sets of pairs of blocks (a, b), as stars within each pair."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -373,52 +391,123 @@ def _verified(docs: DataFrame, candidates: DataFrame, shingle: int, similarity:
     return pairs.select("a", "b").mapInArrow(compare, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs``: documents linked where their similarity is ``similarity`` or more.
+def _all_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links that connect the same nodes of ``sets`` (component, node, s) as all pairs within a component with this similarity do.
 
-    The similarity is the Jaccard coefficient of the sets of ``shingle``-word shingles. Sketches only find candidates, down to a lower
-    similarity; a link is always verified on the sets. Rules for null, empty and repeated rows are those of ``near_duplicates``; texts with
-    fewer words are one shingle, those without words are alike.
+    A component of one block is compared whole. The nodes of a larger one first meet in random blocks, which costs in proportion to
+    their number and joins most of a group of copies. Then only nodes of different groups are compared, so a component that has become
+    one group costs nothing more.
     """
-    bits, bands, n_words = plan_bands(docs.count(), similarity)
+    weight = F.greatest(F.size("s"), F.lit(LEAST_SHINGLES)).cast("long")
+    item = F.struct("node", "s")
+    alone = lambda rows, k: _compared(blocks(rows, ["component"], item, F.xxhash64("node", F.lit(k)), SHINGLES, weight).withColumn("b", F.lit(None).cast("array<struct<node:bigint,s:array<bigint>>>")), similarity)
+    links = written(alone(sets, 0), "links")
+    large = sets.groupBy("component").agg(F.sum(weight).alias("whole")).where(F.col("whole") > SHINGLES).select("component")
+    hot = written(sets.join(large, "component"), "hot")
+    if hot.isEmpty():
+        return links
+    for k in range(1, MIXINGS + 1):
+        links = links.union(written(alone(hot, k), "links"))
+    groups = connected_components(links).select("node", F.col("component").alias("label"))
+    hot = hot.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sizes = written(hot.groupBy("component", "label").agg(F.sum(weight).alias("whole")), "groups")
+    many = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    own = sizes.join(many, "component").select("component", "label", F.when(F.col("whole") > SHINGLES, F.col("label")).otherwise(-1).alias("own"))
+    made = blocks(hot.join(own, ["component", "label"]), ["component", "own"], item, F.xxhash64("node"), SHINGLES, weight, least=1)
+    made = written(made.withColumn("id", F.monotonically_increasing_id()), "blocks")
+    ids = made.select("component", "own", "id")
+    other = ids.select("component", F.col("own").alias("own_b"), F.col("id").alias("id_b"))
+    pairs = ids.join(other, "component").where("id < id_b and (own != own_b or own = -1)").select("id", "id_b")  # ids of blocks, not of documents
+    across = pairs.join(made.select("id", "a"), "id").join(made.select(F.col("id").alias("id_b"), F.col("a").alias("b")), "id_b").select("a", "b")
+    inside = made.where("own = -1").select("a", F.lit(None).cast(made.schema["a"].dataType).alias("b"))
+    return links.union(_compared(across.union(inside), similarity))
+
+
+def _row_keys() -> list:
+    """Columns that tell the texts of one doc_id apart."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("t"), F.hash(text).alias("u")]
+
+
+def _similar_classes(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """((doc_id, h1, h2) of every row, (h1, h2, group, rep, one) of every set of shingles).
+
+    h1 and h2 are hashes of the set. rep is the smallest doc_id of its rows, one their first by doc_id and text, with the number n of rows
+    that are equal in both. Sets with one group are connected by links.
+    """
+    bits, each, n_words = plan_bands(docs.count(), similarity)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             ids, made = [], []
-            for t in batch.column(1).cast(pa.binary()):
+            for t in batch.column(3).cast(pa.binary()):
                 hashes = np.unique(shingle_hashes(t.as_py(), shingle))
                 made.append(sketch_of(hashes, n_words).view(np.int64))
                 ids.append((xxhash.xxh64_intdigest(hashes.tobytes(), 1), xxhash.xxh64_intdigest(hashes.tobytes(), 2)))
             flat = np.concatenate(made) if made else np.empty(0, np.int64)
             h = np.array(ids, np.uint64).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1, dtype=np.int32) * n_words), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "words", "h1", "h2"])
-
-    made = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, words array<bigint>, h1 long, h2 long")
-    made = written(made, "sketches")
-    classes = written(made.groupBy("h1", "h2", "words").agg(F.min("doc_id").alias("rep")), "classes")
-    each = 64 // bits
-    entries = F.array(*[F.struct(F.lit(t).alias("t"), F.shiftrightunsigned(F.col("words")[t // each], bits * (t % each)).bitwiseAND(F.lit((1 << bits) - 1)).alias("key")) for t in range(bands)])
-    rows = classes.where("rep is not null").select("rep", "words", F.explode(entries).alias("e")).select("rep", "words", "e.t", "e.key")
-    pairs = block_pairs(rows, ["t", "key"], F.struct("words", "rep"), F.xxhash64("rep"), BLOCK // 4)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], lists, pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], ["doc_id", "t", "u", "words", "h1", "h2"])
+
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_row_keys(), F.col("text").cast("string").alias("text"))
+    made = written(keyed.mapInArrow(work, "doc_id long, t long, u int, words array<bigint>, h1 long, h2 long"), "sketches")
+    once = made.groupBy("h1", "h2", "words", "doc_id", "t", "u").agg(F.count(F.lit(1)).alias("n"))
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t", "u", "n"))
+    classes = written(once.groupBy("h1", "h2", "words").agg(one.alias("one")).withColumn("node", F.monotonically_increasing_id()), "classes")
+    masks = F.array(*[F.lit(m) for m in band_masks(bits, each, n_words)])
+    rows = classes.select("node", "words", F.posexplode(masks).alias("band", "mask"))
+    rows = rows.select("node", "words", "band", F.get("words", F.floor(F.col("band") / each).cast("int")).bitwiseAND(F.col("mask")).alias("key"))
+    pairs = block_pairs(rows, ["band", "key"], F.struct("words", F.col("node").alias("rep")), F.xxhash64("node"), BLOCK // 4)
     share, n_bits = expected_distance(similarity), 64 * n_words
     candidates = _linked(pairs, FIRST_WORD, int(n_bits * share + MARGIN * (n_bits * share * (1 - share)) ** 0.5))
-    links = _verified(docs, candidates, shingle, similarity)
-    ids = made.groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo != hi").select("doc_id")
-    twice = made.join(ids, "doc_id").join(classes, ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    comps = connected_components(links.union(twice))
-    found = classes.join(comps, classes["rep"] == comps["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    return made.select("doc_id", "h1", "h2").join(found, ["h1", "h2"]).select("doc_id", "component_id")
+    comps = written(connected_components(candidates), "candidates")
+    members = comps.select("node", "component").union(comps.select(F.col("component").alias("node"), "component").distinct())
+    members = members.join(classes, "node").select("node", "component", F.col("one.doc_id").alias("_id"), F.col("one.t").alias("_t"), F.col("one.u").alias("_u"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")) & (F.col("u") == F.col("_u"))
+    texts = keyed.join(members, same).select("component", "node", "text")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)).view(np.int64) for t in batch.column(2).cast(pa.binary())]
+            flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["component", "node", "s"])
+
+    sets = texts.mapInArrow(read, "component long, node long, s array<bigint>")
+    links = _all_links(written(sets.dropDuplicates(["component", "node"]), "shingles"), similarity)
+    groups = connected_components(links)
+    found = classes.join(groups, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("group"), F.col("one.doc_id").alias("rep"), "one")
+    return made.select("doc_id", "h1", "h2"), written(found, "found")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: rows linked where their similarity is ``similarity`` or more.
+
+    component_id is the smallest doc_id that links reach, null if none of the rows has one. The similarity is the Jaccard coefficient of the sets
+    of ``shingle``-word shingles. Sketches only find candidates, down to a lower similarity; a link is always verified on the sets. Texts
+    with fewer words are one shingle, those without words (null ones too) are alike. Rows with the same doc_id, or none, are linked by
+    their own texts. Other columns are not read.
+    """
+    rows, classes = _similar_classes(docs, shingle, similarity)
+    least = classes.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return rows.join(classes.join(least, "group").select("h1", "h2", "component_id"), ["h1", "h2"]).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of ``similar_documents``: the one with the smallest doc_id, one row of it. Same columns.
+    """``docs`` with one row of each group of ``similar_documents``: the one with the smallest doc_id. Same columns.
 
-    Rows without a doc_id can't stand for a group: they all stay if one of them is linked to no document with an id, else they go.
+    Rows without a doc_id come last. Of different texts with one doc_id, each is in the group of its own text; where several of them are in one
+    group, the order of a hash of the text decides, and between rows equal in both the least by all columns stays, so every run keeps
+    the same rows.
     """
-    groups = similar_documents(docs, shingle, similarity)
-    keep = groups.where("doc_id = component_id or (doc_id is null and component_id is null)").select(F.col("doc_id").alias("_nd_id")).distinct()
-    joined = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id"))).drop("_nd_id")
-    return joined.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(joined.where("doc_id is null"))
+    _, classes = _similar_classes(docs, shingle, similarity)
+    keep = classes.groupBy(F.col("group").alias("_group")).agg(F.min("one").alias("_one"))
+    t, u = _row_keys()
+    keyed = docs.withColumn("_nd_t", t).withColumn("_nd_u", u)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_one.doc_id")) & (F.col("_nd_t") == F.col("_one.t")) & (F.col("_nd_u") == F.col("_one.u"))
+    joined = keyed.join(keep, same)
+    names = [F.col(f"`{n}`") for n in docs.columns]
+    again = joined.where("_one.n > 1").groupBy("_group").agg(F.min(F.struct(*names)).alias("_row")).select("_row.*")
+    return joined.where("_one.n = 1").select(*names).unionByName(again)

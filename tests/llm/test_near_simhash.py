@@ -192,6 +192,78 @@ def test_similar_pairs(split):
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+@pytest.mark.parametrize("rows", [1, 2, 63, 1024, 1025, 2049])
+def test_planes_of_any_number_of_rows(rows):
+    values = np.random.default_rng(rows).integers(0, 1 << 63, (rows, 64), dtype=np.uint64)
+    planes = m._planes(values)
+    for bit in (0, 17, 62):
+        want = [sum(1 << lane for lane in range(64) if int(v[lane]) >> bit & 1) for v in (values[0], values[-1])]
+        assert [int(planes[0, bit]), int(planes[-1, bit])] == want
+
+
+def test_one_bucket(spark):
+    """Two or three unrelated texts that share an id or a bit range."""
+    word = lambda k: f"w{k * 7919 % 1009}"
+    texts = [" ".join(word(k + 1000 * g) for k in range(60)) for g in range(3)]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert sorted(tuple(r) for r in m.drop_near_duplicates(docs).collect()) == sorted([(1, texts[0]), (1, texts[1]), (2, texts[2])])
+    assert {r["doc_id"]: r["component_id"] for r in m.near_duplicates(docs).collect()} == {1: 1, 2: 2}
+    classes = spark.createDataFrame([(5, 1), (5 + (0xFFFF << 40), 2)], "fp long, rep long")
+    assert m.hamming_links(classes).count() == 0
+
+
+@pytest.mark.parametrize("n", [10, 10**6, 10**8, 10**9, 10**10, 10**11])
+def test_planned_recall_holds_at_every_size(n):
+    bits, each, words = m.plan_bands(n, 0.8)
+    assert n / 2.0**bits <= m.BLOCK and m.band_recall(bits, each, words, m.expected_distance(0.8)) >= m.BAND_RECALL
+    masks = m.band_masks(bits, each, words)
+    assert len(masks) == each * words and all((x & ((1 << 64) - 1)).bit_count() == bits for x in masks)
+
+
+@pytest.mark.parametrize("n", [10**6, 10**9])
+def test_measured_recall_of_bands(n):
+    """Sketches of real sets at a similarity of 0.8 meet in some band of the plan for ``n`` documents."""
+    rng = np.random.default_rng(9)
+    bits, each, words = m.plan_bands(n, 0.8)
+    masks = np.array(m.band_masks(bits, each, words), np.int64).view(np.uint64).reshape(words, each)
+    met = 0
+    for _ in range(300):
+        common, own = rng.integers(0, 1 << 62, 160, dtype=np.uint64), rng.integers(0, 1 << 62, (2, 20), dtype=np.uint64)
+        a, b = (m.sketch_of(np.concatenate((common, o)), words) for o in own)
+        met += bool((((a ^ b)[:, None] & masks) == 0).any())
+    assert met >= 0.98 * 300
+
+
+def test_repeated_ids_in_the_stage(spark):
+    """Each text under one id is judged by itself, copies of one text leave one row, and every run keeps the same rows."""
+    text = lambda g: " ".join(f"g{g}w{k}" for k in range(50))
+    rows = [(7, text(1), "b"), (7, text(1), "a"), (7, text(2), "c"), (3, text(2), "d"), (None, text(2), "e"), (None, text(3), "g"), (None, text(3), "f"), (9, text(4) + " x", "h"), (9, text(4), "i")]
+    for part in (1, 5):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, one string").repartition(part)
+        got = sorted((r["doc_id"] or 0, r["one"]) for r in m.drop_near_duplicates(docs).collect())
+        assert got[:3] == [(0, "f"), (3, "d"), (7, "a")] and len(got) == 4 and got[3][0] == 9
+        assert part == 1 or got == first
+        first = got
+
+
+@pytest.mark.parametrize("shingles", [1 << 17, 3000])
+def test_a_large_group_of_near_copies(spark, monkeypatch, shingles):
+    """More near copies than a block holds, beside others that share candidates but reach 0.8 with none of them."""
+    monkeypatch.setattr(m, "SHINGLES", shingles)
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(400):
+        words = [f"w{k}" for k in range(120)]
+        words[int(rng.integers(120))] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, " ".join([f"w{k}" for k in range(100)] + [f"other{i}x{k}" for k in range(35)])) for i in range(30)]
+    texts = dict(rows)
+    ids = list(texts)
+    want = slow_components([(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b]) >= 0.8], ids)
+    got = {r["doc_id"]: r["component_id"] for r in m.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_stage_on_odd_rows(odd, empty):
     out = m.drop_near_duplicates(odd)
     assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "7", "None"]
