@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,12 +100,12 @@ def accumulate(op: str, e: Any, s: Scope) -> Column:
         "$mergeObjects": lambda: _merged(e, s),
         "$top": lambda: _end(e["output"], s, _keys(e), False),
         "$bottom": lambda: _end(e["output"], s, _keys(e), True),
-        "$topN": lambda: F.slice(_ordered(e["output"], s, _keys(e)), F.lit(1), column(e["n"], s).cast("int") if not isinstance(e["n"], int) else F.lit(e["n"])),
-        "$bottomN": lambda: _tail(_ordered(e["output"], s, _keys(e)), e["n"]),
-        "$firstN": lambda: F.slice(_ordered(e["input"], s, order), F.lit(1), F.lit(e["n"])),
-        "$lastN": lambda: _tail(_ordered(e["input"], s, order), e["n"]),
-        "$maxN": lambda: F.slice(F.sort_array(F.collect_list(column(e["input"], s)), asc=False), F.lit(1), F.lit(e["n"])),
-        "$minN": lambda: F.slice(F.sort_array(F.collect_list(column(e["input"], s))), F.lit(1), F.lit(e["n"])),
+        "$topN": lambda: F.slice(_ordered(e["output"], s, _keys(e)), F.lit(1), _how_many(e["n"], s)),
+        "$bottomN": lambda: _tail(_ordered(e["output"], s, _keys(e)), _how_many(e["n"], s)),
+        "$firstN": lambda: F.slice(_ordered(e["input"], s, order), F.lit(1), _how_many(e["n"], s)),
+        "$lastN": lambda: _tail(_ordered(e["input"], s, order), _how_many(e["n"], s)),
+        "$maxN": lambda: F.slice(F.sort_array(F.collect_list(column(e["input"], s)), asc=False), F.lit(1), _how_many(e["n"], s)),
+        "$minN": lambda: F.slice(F.sort_array(F.collect_list(column(e["input"], s))), F.lit(1), _how_many(e["n"], s)),
         "$accumulator": lambda: _custom(e, s),
     }
     if op not in plain:
@@ -113,8 +113,42 @@ def accumulate(op: str, e: Any, s: Scope) -> Column:
     return plain[op]()
 
 
-def _tail(rows: Column, n: int) -> Column:
-    return F.slice(rows, F.greatest(F.size(rows) - n, F.lit(0)) + 1, F.lit(n))
+def _how_many(n: Any, s: Scope) -> Column:
+    return F.lit(n) if isinstance(n, int) else F.max(column(n, s)).cast("int")
+
+
+def _tail(rows: Column, n: Column) -> Column:
+    return F.slice(rows, F.greatest(F.size(rows) - n, F.lit(0)) + 1, n)
+
+
+#: Accumulators of the first values of a group.
+RANKED = {"$topN", "$bottomN", "$firstN", "$lastN", "$maxN", "$minN"}
+
+
+def first_rows(op: str, e: dict, s: Scope, by: Column) -> tuple[DataFrame, Column]:
+    """((_id, values) of the groups that have any, the empty array): the values of an accumulator of RANKED with a fixed n.
+
+    Rows are ranked within their group and only n of them stay. Spark limits each group to n rows in every task before the shuffle, so no
+    task and no array holds a whole group.
+    """
+    value = column(e["output"] if "output" in e else e["input"], s)
+    rows = s.df.select(by.alias("_id"), value.alias("v"), *_order_columns(op, e, s, value))
+    if op in ("$maxN", "$minN"):
+        rows = rows.where("v is not null")
+    falling = op == "$maxN"
+    if op in ("$topN", "$bottomN", "$firstN", "$lastN"):
+        falling = order_key(_keys(e) if "sortBy" in e else list(s.order), s, value)[1]
+    from_end = op in ("$bottomN", "$lastN")
+    rank = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("k").desc() if falling != from_end else F.col("k").asc()))
+    few = rows.withColumn("rank", rank).where(F.col("rank") <= e["n"])
+    values = F.transform(F.sort_array(F.collect_list(F.struct("k", "v")), asc=not falling), lambda x: x["v"])
+    return few.groupBy("_id").agg(values.alias("values")), F.array().cast(T.ArrayType(rows.schema["v"].dataType))
+
+
+def _order_columns(op: str, e: dict, s: Scope, value: Column) -> list[Column]:
+    if op in ("$maxN", "$minN"):
+        return [F.struct(value.alias("k0")).alias("k")]
+    return [order_key(_keys(e) if "sortBy" in e else list(s.order), s, value)[0].alias("k")]
 
 
 def _custom(e: dict, s: Scope) -> Column:

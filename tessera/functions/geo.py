@@ -55,27 +55,148 @@ def _in_ring(x: Column, y: Column, ring: list) -> Column:
     return on_edge | (crossings % 2 == 1)
 
 
-def _polygons(geometry: dict) -> list[list]:
-    if geometry["type"] == "Polygon":
-        return [geometry["coordinates"]]
-    if geometry["type"] == "MultiPolygon":
-        return geometry["coordinates"]
-    raise PipelineError(f"unsupported geometry {geometry['type']}")
+class Shape:
+    """A geometry of a query: its points, the segments of its lines, and its polygons as lists of rings."""
 
+    def __init__(self, geometry: dict):
+        self.points: list[list] = []
+        self.segments: list[tuple[list, list]] = []
+        self.polygons: list[list] = []
+        self._add(geometry)
 
-def _point_in(p: Column, geometry: dict) -> Column:
-    x, y = F.get(p, 0), F.get(p, 1)
-    inside = [reduce(lambda a, hole: a & ~_in_ring(x, y, hole), holes, _in_ring(x, y, outer)) for outer, *holes in _polygons(geometry)]
-    return reduce(lambda a, b: a | b, inside)
+    def _add(self, geometry: dict) -> None:
+        kind, at = geometry["type"], geometry.get("coordinates")
+        if kind == "Point":
+            self.points.append(at)
+        elif kind == "MultiPoint":
+            self.points += at
+        elif kind in ("LineString", "MultiLineString"):
+            for line in [at] if kind == "LineString" else at:
+                self.segments += list(zip(line, line[1:], strict=False))
+        elif kind in ("Polygon", "MultiPolygon"):
+            self.polygons += [at] if kind == "Polygon" else at
+        elif kind == "GeometryCollection":
+            for part in geometry["geometries"]:
+                self._add(part)
+        else:
+            raise PipelineError(f"unsupported geometry {kind}")
+
+    @property
+    def borders(self) -> list[tuple[list, list]]:
+        return [(a, b) for rings in self.polygons for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]], strict=True) if a != b]
+
+    @property
+    def holes(self) -> list[tuple[float, float]]:
+        """A point inside each hole."""
+        return [_inner_point(ring) for _, *holes in self.polygons for ring in holes]
+
+    def corners(self) -> list[list]:
+        return [*self.points, *[p for s in self.segments for p in s], *[p for rings in self.polygons for ring in rings for p in ring]]
+
+    def holds(self, x: Column, y: Column) -> Column:
+        """Whether a polygon has the point, on its border too; the inside of a hole is outside."""
+        inside = [reduce(lambda a, hole: a & (~_in_ring(x, y, hole) | _on_ring(x, y, hole)), holes, _in_ring(x, y, outer)) for outer, *holes in self.polygons]
+        return reduce(lambda a, b: a | b, inside, F.lit(False))
+
+
+def _inner_point(ring: list) -> tuple[float, float]:
+    """A point inside a ring: in the middle between its first two borders on a height where it has no corner."""
+    heights = sorted({p[1] for p in ring})
+    y = (heights[0] + heights[min(1, len(heights) - 1)]) / 2
+    found = sorted(x1 + (y - y1) / (y2 - y1) * (x2 - x1) for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], ring[0]], strict=True) if (y1 < y) != (y2 < y))
+    return ((found[0] + found[1]) / 2, y) if found else tuple(ring[0])
+
+
+def _on_ring(x: Column, y: Column, ring: list) -> Column:
+    return reduce(lambda c, e: c | _on(x, y, *(F.lit(float(v)) for v in (*e[0], *e[1]))), zip(ring, [*ring[1:], ring[0]], strict=True), F.lit(False))
+
+
+def _cross(ax, ay, bx, by, cx, cy) -> Column:
+    return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+
+
+def _on(x, y, ax, ay, bx, by) -> Column:
+    """Whether a point lies on the segment from a to b."""
+    return (_cross(ax, ay, bx, by, x, y) == 0) & (x >= F.least(ax, bx)) & (x <= F.greatest(ax, bx)) & (y >= F.least(ay, by)) & (y <= F.greatest(ay, by))
+
+
+def _ends(e: Column) -> tuple[Column, Column, Column, Column]:
+    p, q = e["p"], e["q"]
+    return F.get(p, 0), F.get(p, 1), F.get(q, 0), F.get(q, 1)
+
+
+def edges(value: Typed) -> Column:
+    """The segments of a geometry as an array of (p, q), never from one ring or part to the next; none for points."""
+    kind, c, points = value.type, value.column, F.lit(False)
+    if isinstance(kind, T.StructType) and "coordinates" in kind.names:
+        if "type" in kind.names:
+            points = F.coalesce(c.getField("type") == "MultiPoint", F.lit(False))
+        kind, c = kind["coordinates"].dataType, c.getField("coordinates")
+    depth, inner = 0, kind
+    while isinstance(inner, T.ArrayType):
+        depth, inner = depth + 1, inner.elementType
+    none = F.array().cast("array<struct<p:array<double>,q:array<double>>>")
+    if depth < 2:
+        return none
+
+    def of_path(path: Column) -> Column:
+        path = path.cast("array<array<double>>")
+        n = F.size(path) - 1
+        return F.when(n > 0, F.zip_with(F.slice(path, F.lit(1), n), F.slice(path, F.lit(2), n), lambda p, q: F.struct(p.alias("p"), q.alias("q")))).otherwise(none)
+
+    for _ in range(depth - 3):
+        c = F.flatten(c)
+    made = of_path(c) if depth == 2 else F.flatten(F.transform(c, of_path))
+    return F.when(points, none).otherwise(F.coalesce(made, none))
+
+
+def _is_area(value: Typed) -> Column:
+    kind = value.type
+    if isinstance(kind, T.StructType) and "coordinates" in kind.names:
+        if "type" in kind.names:
+            return F.coalesce(value.column.getField("type").isin("Polygon", "MultiPolygon"), F.lit(False))
+        kind = kind["coordinates"].dataType
+    depth = 0
+    while isinstance(kind, T.ArrayType):
+        depth, kind = depth + 1, kind.elementType
+    return F.lit(depth >= 3)
+
+
+def _area_has(found: Column, x: float, y: float) -> Column:
+    """Whether the area within the edges ``found`` holds a point: an odd number of them to its right, over all rings and parts."""
+    def right(e: Column) -> Column:
+        x1, y1, x2, y2 = _ends(e)
+        return ((F.lit(y) < y1) != (F.lit(y) < y2)) & (F.lit(x) < (F.lit(y) - y1) / F.nullif(y2 - y1, F.lit(0.0)) * (x2 - x1) + x1)
+
+    return F.size(F.filter(found, lambda e: F.coalesce(right(e), F.lit(False)))) % 2 == 1
 
 
 def within(name: str, spec: dict, s: Scope) -> Column:
+    """Every vertex inside, no edge that leaves in between, and no hole of the query inside an area."""
     value = path(name, s)
     if "$geometry" in spec:
-        return F.coalesce(F.forall(vertices(value), lambda p: _point_in(p, spec["$geometry"])), F.lit(False))
+        shape = Shape(spec["$geometry"])
+        if not shape.polygons:
+            raise PipelineError("$geoWithin needs a Polygon or a MultiPolygon")
+        inside = F.forall(vertices(value), lambda p: shape.holds(F.get(p, 0), F.get(p, 1)))
+        found = edges(value)
+
+        def stays(e: Column) -> Column:
+            px, py, qx, qy = _ends(e)
+            out = ~shape.holds((px + qx) / 2, (py + qy) / 2)
+            for a, b in shape.borders:
+                ax, ay, bx, by = (F.lit(float(v)) for v in (*a, *b))
+                out = out | ((F.signum(_cross(px, py, qx, qy, ax, ay)) * F.signum(_cross(px, py, qx, qy, bx, by)) < 0) & (F.signum(_cross(ax, ay, bx, by, px, py)) * F.signum(_cross(ax, ay, bx, by, qx, qy)) < 0))
+            return ~out
+
+        made = inside & F.forall(found, stays)
+        for x, y in shape.holes:
+            made = made & ~(_is_area(value) & _area_has(found, float(x), float(y)))
+        return F.coalesce(made, F.lit(False))
     if "$centerSphere" in spec:
         (lon, lat), radians = spec["$centerSphere"]
-        return F.coalesce(distance(value, lon, lat) <= radians * EARTH, F.lit(False))
+        far = F.array_max(F.transform(vertices(value), lambda p: haversine(F.get(p, 0), F.get(p, 1), F.lit(float(lon)), F.lit(float(lat)))))
+        return F.coalesce(far <= radians * EARTH, F.lit(False))
     if "$box" in spec:
         (x1, y1), (x2, y2) = spec["$box"]
         return F.coalesce(F.forall(vertices(value), lambda p: F.get(p, 0).between(x1, x2) & F.get(p, 1).between(y1, y2)), F.lit(False))
@@ -84,32 +205,35 @@ def within(name: str, spec: dict, s: Scope) -> Column:
     raise PipelineError("$geoWithin needs $geometry, $centerSphere, $box or $polygon")
 
 
-def _segments_cross(p: Column, q: Column, a: list, b: list) -> Column:
-    def side(ax, ay, bx, by, cx, cy):
-        return F.signum((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
-
-    px, py, qx, qy = F.get(p, 0), F.get(p, 1), F.get(q, 0), F.get(q, 1)
-    ax, ay, bx, by = (F.lit(float(v)) for v in (*a, *b))
-    return (side(px, py, qx, qy, ax, ay) * side(px, py, qx, qy, bx, by) <= 0) & (side(ax, ay, bx, by, px, py) * side(ax, ay, bx, by, qx, qy) <= 0)
-
-
-def _any_crosses(edges: Column, a: list, b: list) -> Column:
-    return F.exists(edges, lambda e: _segments_cross(e["p"], e["q"], a, b))
-
-
 def intersects(name: str, spec: dict, s: Scope) -> Column:
-    """A vertex inside the polygon, an edge that crosses it, or, for a polygon, one that holds a corner of it."""
-    geometry, points = spec["$geometry"], vertices(path(name, s))
-    if geometry["type"] == "Point":
-        lon, lat = geometry["coordinates"]
-        return F.coalesce(F.exists(points, lambda p: (F.get(p, 0) == lon) & (F.get(p, 1) == lat)), F.lit(False))
-    touches = F.exists(points, lambda p: _point_in(p, geometry))
-    edges = F.when(F.size(points) > 1, F.arrays_zip(F.slice(points, F.lit(1), F.size(points) - 1).alias("p"), F.slice(points, F.lit(2), F.size(points) - 1).alias("q")))
-    for rings in _polygons(geometry):
-        for ring in rings:
-            for a, b in zip(ring, [*ring[1:], ring[0]], strict=True):
-                if a != b:
-                    touches = touches | F.coalesce(_any_crosses(edges, a, b), F.lit(False))
+    """A shared point of any kind: vertices, edges that meet, a vertex in an area of the query, or a corner of the query in an area."""
+    shape, value = Shape(spec["$geometry"]), path(name, s)
+    points, found = vertices(value), edges(value)
+    lines = [*shape.segments, *shape.borders]
+
+    def touched(p: Column) -> Column:
+        x, y = F.get(p, 0), F.get(p, 1)
+        made = shape.holds(x, y)
+        for a, b in shape.segments:
+            made = made | _on(x, y, *(F.lit(float(v)) for v in (*a, *b)))
+        for a in shape.points:
+            made = made | ((x == float(a[0])) & (y == float(a[1])))
+        return made
+
+    def met(e: Column) -> Column:
+        px, py, qx, qy = _ends(e)
+        made = F.lit(False)
+        for a, b in lines:
+            ax, ay, bx, by = (F.lit(float(v)) for v in (*a, *b))
+            apart = (F.signum(_cross(px, py, qx, qy, ax, ay)) * F.signum(_cross(px, py, qx, qy, bx, by)) < 0) & (F.signum(_cross(ax, ay, bx, by, px, py)) * F.signum(_cross(ax, ay, bx, by, qx, qy)) < 0)
+            made = made | apart | _on(px, py, ax, ay, bx, by) | _on(qx, qy, ax, ay, bx, by) | _on(ax, ay, px, py, qx, qy) | _on(bx, by, px, py, qx, qy)
+        for a in shape.points:
+            made = made | _on(F.lit(float(a[0])), F.lit(float(a[1])), px, py, qx, qy)
+        return made
+
+    touches = F.exists(points, touched) | F.exists(found, met)
+    for x, y in shape.corners():
+        touches = touches | (_is_area(value) & _area_has(found, float(x), float(y)))
     return F.coalesce(touches, F.lit(False))
 
 

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.accumulators import order_key
+from tessera.functions.accumulators import accumulate, order_key
 from tessera.functions.expressions import column, compile_expression
 from tessera.functions.filters import compile_filter
 from tessera.functions.scope import PipelineError, Scope, Typed, path
-from tessera.operators.stages import STAGES, run_pipeline, set_path, stage
+from tessera.operators.stages import STAGES, bucket_of, run_pipeline, set_path, stage
 from tessera.sources.scratch import written
 
 
@@ -57,14 +58,30 @@ def fused(s: Scope, stages: list[dict], at: int) -> tuple[Scope, int] | None:
     return None
 
 
+def _inside(s: Scope, run: Callable[[Scope], Scope]) -> Scope:
+    """A join within the sub-pipeline of another one: the outer row id is put aside under another name meanwhile."""
+    if "_row" not in s.hidden:
+        return run(s)
+    aside = f"_row_{len(s.hidden)}"
+    out = run(s.at(s.df.withColumnRenamed("_row", aside), hidden=s.hidden - {"_row"} | {aside}))
+    return out.at(out.df.withColumnRenamed(aside, "_row"), hidden=s.hidden)
+
+
 @stage("$lookup")
 def lookup(s: Scope, spec: dict) -> Scope:
+    return _inside(s, lambda inner: _lookup(inner, spec))
+
+
+def _lookup(s: Scope, spec: dict) -> Scope:
     if "pipeline" in spec:
         return _correlated(s, spec)
     other = foreign(s, spec["from"])
     key, on = path(spec["localField"], s), path(spec["foreignField"], other)
     right = other.df.select(on.column.alias("_key"), _whole(other).alias("_doc"))
-    right = right.withColumn("_key", F.explode_outer("_key")).distinct() if isinstance(on.type, T.ArrayType) else right
+    arrays = isinstance(on.type, T.ArrayType)
+    if arrays or isinstance(key.type, T.ArrayType):
+        right = right.withColumn("_number", F.monotonically_increasing_id())  # tells equal foreign rows apart
+        right = right.withColumn("_key", F.explode_outer(F.array_distinct("_key"))) if arrays else right
     lists = right.groupBy("_key").agg(F.collect_list("_doc").alias("_docs"))
     empty = F.array().cast(T.ArrayType(right.schema["_doc"].dataType))
     if not isinstance(key.type, T.ArrayType):
@@ -73,7 +90,8 @@ def lookup(s: Scope, spec: dict) -> Scope:
     numbered = written(s.df.withColumn("_row", F.monotonically_increasing_id()), "lookup")
     local = s.at(numbered, hidden=s.hidden | {"_row"})
     keys = numbered.select("_row", F.explode_outer(path(spec["localField"], local).column).alias("_local")).distinct()
-    found = keys.join(right, F.col("_local").eqNullSafe(F.col("_key"))).groupBy("_row").agg(F.collect_set("_doc").alias("_docs"))
+    found = keys.join(right, F.col("_local").eqNullSafe(F.col("_key"))).groupBy("_row", "_number").agg(F.first("_doc").alias("_doc"))
+    found = found.groupBy("_row").agg(F.collect_list("_doc").alias("_docs"))
     joined = numbered.join(found, "_row", "left")
     return s.at(set_path(joined, spec["as"], F.coalesce(F.col("_docs"), empty)).drop("_row", "_docs"))
 
@@ -92,6 +110,8 @@ def _correlated(s: Scope, spec: dict) -> Scope:
     Variables are seen by all stages. Equalities between a variable and a field make it a hash join.
     """
     other, stages = foreign(s, spec["from"]), list(spec["pipeline"])
+    if not spec.get("let") and "localField" not in spec:
+        return _same_for_all(s, run_pipeline(other, stages), spec["as"])
     rows = written(s.df.withColumn("_row", F.monotonically_increasing_id()), "lookup")
     local = s.at(rows, hidden=s.hidden | {"_row"})
     variables = {k: compile_expression(v, local) for k, v in spec.get("let", {}).items()}
@@ -115,18 +135,28 @@ def _correlated(s: Scope, spec: dict) -> Scope:
     sub = Scope(joined.select(*hidden, *[F.col(f"_f_{n}").alias(n) for n in other.names]), {**s.variables, **{k: Typed(F.col(f"_let_{k}"), local.type_of(v)) for k, v in variables.items()}}, (), other.database, None, hidden)
     for st in stages:
         sub = _by_row(sub, st)
-    whole = _whole(sub)
-    if sub.order:
-        key, down = order_key(list(sub.order), sub)
-        listed = F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), whole.alias("v"))), asc=not down), lambda x: x["v"])
-    else:
-        listed = F.collect_list(whole)
-    lists = sub.df.groupBy("_row").agg(listed.alias("_docs"))
+    lists = sub.df.groupBy("_row").agg(_listed(sub).alias("_docs"))
     out = rows.join(lists, "_row", "left")
     out = set_path(out, spec["as"], F.coalesce(F.col("_docs"), F.array().cast(lists.schema["_docs"].dataType)))
     return s.at(out.drop("_row", "_docs"))
 
 
+def _listed(sub: Scope) -> Column:
+    """All documents of a sub-pipeline as an array, in its order if it has one."""
+    whole = _whole(sub)
+    if not sub.order:
+        return F.collect_list(whole)
+    key, down = order_key(list(sub.order), sub)
+    return F.transform(F.sort_array(F.collect_list(F.struct(key.alias("k"), whole.alias("v"))), asc=not down), lambda x: x["v"])
+
+
+def _same_for_all(s: Scope, sub: Scope, name: str) -> Scope:
+    """A sub-pipeline that sees nothing of the row runs once, and its one array joins every row."""
+    once = sub.df.agg(_listed(sub).alias("_docs"))
+    joined = s.df.crossJoin(F.broadcast(once))  # one row
+    return s.at(set_path(joined, name, F.col("_docs")).drop("_docs"))
+
+
 def _condition(e: Any, both: Scope, types: dict) -> Column:
     """One part of a join condition; an equality is built on bare columns, so that Spark joins by hash."""
     if isinstance(e, dict) and "$eq" in e:
@@ -140,10 +170,19 @@ def _condition(e: Any, both: Scope, types: dict) -> Column:
 def _by_row(sub: Scope, st: dict) -> Scope:
     """A stage of a sub-pipeline, for all rows at once."""
     (name, spec), *_ = st.items()
-    if name in ("$match", "$addFields", "$set", "$unset", "$unwind"):
-        return STAGES[name](sub, spec)
-    if name == "$project":
+    if name in ("$match", "$addFields", "$set", "$unset", "$unwind", "$project", "$replaceRoot", "$replaceWith", "$redact", "$lookup", "$graphLookup"):
         return STAGES[name](sub, spec)
+    if name == "$setWindowFields":
+        return _windowed_by_row(sub, spec)
+    if name == "$sample":
+        n = F.row_number().over(Window.partitionBy("_row").orderBy("_random"))
+        df = sub.df.withColumn("_random", F.rand()).withColumn("_n", n)
+        return sub.at(df.where(F.col("_n") <= int(spec["size"])).drop("_n", "_random"), order=())
+    if name == "$sortByCount":
+        grouped = _by_row(sub, {"$group": {"_id": spec, "count": {"$count": {}}}})
+        return grouped.at(grouped.df, order=(("count", -1), ("_id", 1)))
+    if name == "$bucket":
+        return _grouped_by_row(sub, bucket_of(sub, spec), spec.get("output", {"count": {"$sum": 1}}))
     if name == "$sort":
         return sub.at(sub.df, order=tuple(spec.items()))
     if name in ("$limit", "$skip"):
@@ -152,18 +191,28 @@ def _by_row(sub: Scope, st: dict) -> Scope:
         df = sub.df.withColumn("_n", n)
         return sub.at(df.where(F.col("_n") <= int(spec) if name == "$limit" else F.col("_n") > int(spec)).drop("_n"))
     if name == "$group":
-        from tessera.functions.accumulators import accumulate
-
         key = spec["_id"]
         by = F.lit(None).cast("string") if key is None else column(key, sub)
-        made = [accumulate(*next(iter(v.items())), sub).alias(k) for k, v in spec.items() if k != "_id"]
-        keep = [F.first(c).alias(c) for c in sub.hidden if c != "_row"]
-        return sub.at(sub.df.groupBy("_row", by.alias("_id")).agg(*made, *keep), order=())
+        return _grouped_by_row(sub, by, {k: v for k, v in spec.items() if k != "_id"})
     if name == "$count":
         return sub.at(sub.df.groupBy("_row").agg(F.count(F.lit(1)).cast("int").alias(spec), *[F.first(c).alias(c) for c in sub.hidden if c != "_row"]), order=())
     raise PipelineError(f"{name} isn't supported inside a correlated $lookup")
 
 
+def _grouped_by_row(sub: Scope, by: Column, outputs: dict) -> Scope:
+    made = [accumulate(*next(iter(v.items())), sub).alias(k) for k, v in outputs.items()]
+    keep = [F.first(c).alias(c) for c in sub.hidden if c != "_row"]
+    return sub.at(sub.df.groupBy("_row", by.alias("_id")).agg(*made, *keep), order=())
+
+
+def _windowed_by_row(sub: Scope, spec: dict) -> Scope:
+    """The window of each row's own documents: the row is one more partition key."""
+    seen = sub.at(sub.df, hidden=sub.hidden - {"_row"})
+    by = spec.get("partitionBy")
+    out = STAGES["$setWindowFields"](seen, spec | {"partitionBy": {"$concatArrays": [[{"$toString": "$_row"}], [{"$toString": by}]]} if by is not None else "$_row"})
+    return sub.at(out.df)
+
+
 @stage("$unionWith")
 def union_with(s: Scope, spec: Any) -> Scope:
     spec = {"coll": spec} if isinstance(spec, str) else spec
@@ -174,6 +223,10 @@ def union_with(s: Scope, spec: Any) -> Scope:
 
 @stage("$graphLookup")
 def graph_lookup(s: Scope, spec: dict) -> Scope:
+    return _inside(s, lambda inner: _graph_lookup(inner, spec))
+
+
+def _graph_lookup(s: Scope, spec: dict) -> Scope:
     """Breadth first for all rows at once: one join a level, values seen before left out, until a level is empty.
 
     Every level is written, so a level that is lost is not computed from the first one again.

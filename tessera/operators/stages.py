@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import geo
-from tessera.functions.accumulators import _Late, accumulate, windowed
+from tessera.functions.accumulators import RANKED, _Late, accumulate, first_rows, windowed
 from tessera.functions.expressions import column, compile_expression, literal
 from tessera.functions.filters import compile_filter
 from tessera.functions.scope import PipelineError, Scope, Typed, drop_path, path, set_path
@@ -28,6 +29,8 @@ def stage(*names: str):
     return add
 
 
+#: Nodes of a plan that shuffle or sort all rows.
+SHUFFLES = re.compile(r"\b(Aggregate|Join|Window|Sort|Repartition\w*|GlobalLimit|Distinct)\b")
 #: Stages that take the order from the scope or not at all, so that rows need no sort before them.
 UNSORTED = {"$group", "$sort", "$count", "$sortByCount", "$bucket", "$bucketAuto", "$setWindowFields"}
 
@@ -126,14 +129,15 @@ def unset(s: Scope, spec: Any) -> Scope:
 def replace_root(s: Scope, spec: Any) -> Scope:
     e = spec["newRoot"] if isinstance(spec, dict) and set(spec) == {"newRoot"} else spec
     made = compile_expression(e, s)
+    hidden = [s.df[f"`{n}`"] for n in s.hidden]
     if isinstance(e, dict) and not next(iter(e), "").startswith("$"):
         fields = {k: column(v, s) for k, v in e.items()}
-        return s.at(s.df.select(*[c.alias(k) for k, c in fields.items()]), order=())
+        return s.at(s.df.select(*hidden, *[c.alias(k) for k, c in fields.items()]), order=())
     kind = s.type_of(made)
     if not isinstance(kind, T.StructType):
         raise PipelineError("the new root must be a document", 40228)
     guarded = F.when(made.column.isNull(), F.raise_error(F.lit("the new root must be a document")).cast(kind)).otherwise(made.column)
-    return s.at(s.df.select(guarded.alias("_root")).select("_root.*"), order=())
+    return s.at(s.df.select(*hidden, guarded.alias("_root")).select(*s.hidden, "_root.*"), order=())
 
 
 @stage("$redact")
@@ -203,12 +207,16 @@ def sample(s: Scope, spec: dict) -> Scope:
 
 
 def _group(s: Scope, by: Column, outputs: dict) -> DataFrame:
-    made = []
-    for k, spec in outputs.items():
-        (op, e), *_ = spec.items()
-        made.append(accumulate(op, e, s).alias(k))
-    grouped = s.df.groupBy(by.alias("_id"))
-    return grouped.agg(*made) if made else grouped.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
+    """Aggregates by ``by``; the accumulators of the first n values join a table of n rows a group, see ``first_rows``."""
+    ops = {k: next(iter(spec.items())) for k, spec in outputs.items()}
+    few = {k: (op, e) for k, (op, e) in ops.items() if op in RANKED and isinstance(e["n"], int)}
+    made = [accumulate(op, e, s).alias(k) for k, (op, e) in ops.items() if k not in few]
+    out = s.df.groupBy(by.alias("_id")).agg(*(made or [F.count(F.lit(1)).alias("_n")]))
+    for k, (op, e) in few.items():
+        listed, empty = first_rows(op, e, s, by)
+        listed = listed.select(F.col("_id").alias("_few"), F.col("values").alias(k))
+        out = out.join(listed, out["_id"].eqNullSafe(listed["_few"]), "left").drop("_few").withColumn(k, F.coalesce(F.col(f"`{k}`"), empty))
+    return out.select("_id", *[F.col(f"`{k}`") for k in ops])
 
 
 @stage("$group")
@@ -233,12 +241,16 @@ def sort_by_count(s: Scope, e: Any) -> Scope:
     return s.at(df.orderBy(F.desc("count"), "_id"), order=(("count", -1), ("_id", 1)))
 
 
-@stage("$bucket")
-def bucket(s: Scope, spec: dict) -> Scope:
+def bucket_of(s: Scope, spec: dict) -> Column:
     value, bounds = column(spec["groupBy"], s), spec["boundaries"]
     made = reduce(lambda c, b: c.when((value >= b[0]) & (value < b[1]), literal(b[0]).column), zip(bounds, bounds[1:], strict=False), F)
     fallback = literal(spec["default"]).column if "default" in spec else F.raise_error(F.lit("$bucket: a value fits no bucket and there is no default"))
-    return s.at(_group(s, made.otherwise(fallback), spec.get("output", {"count": {"$sum": 1}})), order=())
+    return made.otherwise(fallback)
+
+
+@stage("$bucket")
+def bucket(s: Scope, spec: dict) -> Scope:
+    return s.at(_group(s, bucket_of(s, spec), spec.get("output", {"count": {"$sum": 1}})), order=())
 
 
 @stage("$bucketAuto")
@@ -256,11 +268,14 @@ def bucket_auto(s: Scope, spec: dict) -> Scope:
 
 @stage("$facet")
 def facet(s: Scope, spec: dict) -> Scope:
-    """One row with an array for each branch; the input is cached, since every branch reads it."""
-    cached = s.at(s.df.cache())
+    """One row with an array for each branch.
+
+    Each branch reads the input by itself, so its filters and columns reach the scan. An input that took a shuffle is written first.
+    """
+    source = s.at(written(s.df, "facet")) if len(spec) > 1 and SHUFFLES.search(s.df._jdf.queryExecution().optimizedPlan().toString()) else s
     rows = []
     for name, stages in spec.items():
-        out = run_pipeline(cached, stages)
+        out = run_pipeline(source, stages)
         key = F.struct(F.lit(0).alias("k"), F.struct(*[out.df[f"`{n}`"] for n in out.names]).alias("v"))
         if out.order:
             from tessera.functions.accumulators import order_key
@@ -333,9 +348,10 @@ def fill(s: Scope, spec: dict) -> Scope:
 
 @stage("$documents")
 def documents(s: Scope, rows: list[dict]) -> Scope:
-    spark = s.df.sparkSession
-    parts = [spark.range(1).select(*[column(v, s).alias(k) for k, v in r.items()]) for r in rows]
-    return s.at(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), order=())
+    """All rows as one array of structs, so a plan of any number of rows has one node. A field that a row lacks is null."""
+    names = list(dict.fromkeys(k for r in rows for k in r))
+    each = [F.struct(*[(column(r[k], s) if k in r else F.lit(None)).alias(k) for k in names]) for r in rows]
+    return s.at(s.df.sparkSession.range(1).select(F.inline(F.array(*each))), order=())
 
 
 @stage("$geoNear")

@@ -137,7 +137,12 @@ def first_match(df: DataFrame, s: Scope, match: Column, sort: dict | None, key:
     """Narrows ``match`` to one row: the first by ``sort``, else by ``key``. Its key is found by a distributed top-1."""
     order = sort_columns(s, sort or {key: 1})
     row = df.where(match).orderBy(*order).limit(1).select(key).first()
-    return F.lit(False) if row is None else F.col(key).eqNullSafe(F.lit(row[0]))
+    if row is None:
+        return F.lit(False)
+    picked = F.col(key).eqNullSafe(F.lit(row[0]))
+    if df.where(picked).limit(2).count() > 1:
+        raise PipelineError(f"{key} doesn't tell the rows apart, so one of them can't be picked", 11000)
+    return picked
 
 
 def update(df: DataFrame, filter_: dict, change: dict | list, *, one: bool = False, upsert: bool = False, key: str = "_id", sort: dict | None = None, s: Scope | None = None) -> DataFrame:
@@ -190,7 +195,9 @@ def insert(df: DataFrame, rows: list[dict] | DataFrame, key: str = "_id") -> Dat
         new = rows
     else:
         types = {f.name: f.dataType for f in df.schema.fields}
-        new = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.range(1).select(*[_typed(v, types.get(k)).alias(k) for k, v in r.items()]) for r in rows])
+        fields = list(dict.fromkeys(k for r in rows for k in r))
+        each = [F.struct(*[(_typed(r[k], types.get(k)) if k in r else F.lit(None)).alias(k) for k in fields]) for r in rows]
+        new = spark.range(1).select(F.inline(F.array(*each)))  # one node of the plan for any number of rows
     if key not in new.columns:
         new = new.withColumn(key, F.substring(F.md5(F.uuid()), 1, 24))
     both = df.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
@@ -207,7 +214,8 @@ def check_unique(df: DataFrame, keys: list[str], partial: Column | None = None,
 
 
 def merge_into(target: DataFrame, fresh: DataFrame, on: list[str], matched: Any = "merge", unmatched: str = "insert") -> DataFrame:
-    """Upsert by one full outer join. ``fresh`` must hold a key once."""
+    """Upsert by one full outer join. A key that ``fresh`` holds twice is an error (11000); its fields, null ones too, overwrite."""
+    check_unique(fresh, on)
     names = [*target.columns, *[c for c in fresh.columns if c not in target.columns]]
     t = target.select(F.lit(True).alias("_t"), F.struct("*").alias("old"), *[F.col(k).alias(f"_o{i}") for i, k in enumerate(on)])
     f = fresh.select(F.lit(True).alias("_f"), F.struct("*").alias("new"), *[F.col(k).alias(f"_n{i}") for i, k in enumerate(on)])
@@ -222,12 +230,7 @@ def merge_into(target: DataFrame, fresh: DataFrame, on: list[str], matched: Any
     def value(name: str) -> Column:
         old = F.col("old").getField(name) if name in target.columns else F.lit(None)
         new = F.col("new").getField(name) if name in fresh.columns else F.lit(None)
-        if matched == "keepExisting" or name not in fresh.columns and matched == "merge":
-            hit = old
-        elif matched == "replace" or matched == "fail":
-            hit = new
-        else:
-            hit = F.coalesce(new, old)
+        hit = old if matched == "keepExisting" or name not in fresh.columns and matched == "merge" else new
         return F.when(both, hit).when(only_new, new).otherwise(old).alias(name)
 
     return j.select(*[value(n) for n in names])

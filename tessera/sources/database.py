@@ -67,8 +67,11 @@ class Database:
     def replace(self, name: str, df: DataFrame) -> None:
         self.tables[name] = df
 
-    def create(self, name: str, *, validator: dict | None = None, unique: list[list[str]] | None = None, ttl: tuple[str, int] | None = None, capped: dict | None = None, view_on: str | None = None, pipeline: list[dict] | None = None) -> Collection:
-        """validator: a filter; capped: {"max": rows, "by": order field}; view_on and pipeline make a view."""
+    def create(self, name: str, *, validator: dict | None = None, unique: list[list[str] | dict] | None = None, ttl: tuple[str, int] | None = None, capped: dict | None = None, view_on: str | None = None, pipeline: list[dict] | None = None) -> Collection:
+        """validator: a filter; capped: {"max": rows, "by": order field}; view_on and pipeline make a view.
+
+        unique: lists of fields, or {"keys": fields, "sparse": True, "partial": filter} for those rows alone that have all the fields, or that fit.
+        """
         if view_on is not None:
             self.views[name] = (view_on, pipeline or [])
         else:
@@ -170,8 +173,10 @@ class Collection:
         """The new table, checked against the collection's rules and written."""
         rule = self.database.rules.get(self.name, {})
         new = written(df, self.name)
-        for keys in rule.get("unique", []):
-            updates.check_unique(new, keys)
+        for given in rule.get("unique", []):
+            given = given if isinstance(given, dict) else {"keys": given}
+            partial = compile_filter(given["partial"], Scope(new), False) if "partial" in given else None
+            updates.check_unique(new, given["keys"], partial, given.get("sparse", False))
         if "validator" in rule:
             s = Scope(new)
             fits = json_schema(rule["validator"]["$jsonSchema"], s.document()) if set(rule["validator"]) == {"$jsonSchema"} else compile_filter(rule["validator"], s, False)

@@ -338,3 +338,121 @@ def test_array_updates(db):
     assert rows(t.update_many({}, {"$pullAll": {"v": [2, 9]}}))[0]["v"] == [1, 3, 4]
     assert rows(t.update_many({}, {"$pop": {"v": 1}, "$min": {"bits": 2}, "$mul": {"bits": 1}}))[0]["v"] == [1, 3]
     assert rows(t.update_many({}, {"$push": {"v": {"$each": [8, 9], "$position": 1}}, "$unset": {"bits": ""}, "$set": {"new.deep": 7}}))[0] == {"_id": 1, "v": [1, 8, 9, 3], "bits": None, "new": {"deep": 7}}
+
+
+def test_lookup_keeps_equal_foreign_rows(db):
+    left = put(db, [(1, ["a", "b", "a"]), (2, ["z"]), (3, None)], "_id int, keys array<string>", "l")
+    put(db, [("a", 1), ("a", 1), ("b", 2)], "k string, n int", "r")
+    put(db, [(["a", "a"], 1), (["a"], 1), (["c"], 3)], "k array<string>, n int", "arrays")
+    got = {r["_id"]: sorted(x["n"] for x in r["m"]) for r in rows(left.aggregate([{"$lookup": {"from": "r", "localField": "keys", "foreignField": "k", "as": "m"}}]))}
+    assert got == {1: [1, 1, 2], 2: [], 3: []}
+    got = {r["_id"]: [x["n"] for x in r["m"]] for r in rows(left.aggregate([{"$unwind": "$keys"}, {"$group": {"_id": "$_id", "keys": {"$first": "$keys"}}}, {"$lookup": {"from": "arrays", "localField": "keys", "foreignField": "k", "as": "m"}}]))}
+    assert got == {1: [1, 1], 2: []}
+
+
+def test_lookup_runs_an_uncorrelated_pipeline_once(db):
+    left = put(db, [(1,), (2,), (3,)], "_id int", "l")
+    put(db, [("x", 5), ("y", 7), ("x", 9)], "g string, n int", "r")
+    stages = [{"$facet": {"by": [{"$sortByCount": "$g"}], "top": [{"$sort": {"n": -1}}, {"$limit": 1}]}}]
+    df = left.aggregate([{"$lookup": {"from": "r", "pipeline": stages, "as": "s"}}])
+    assert [r["s"][0]["by"][0]["_id"] for r in rows(df)] == ["x"] * 3 and rows(df)[0]["s"][0]["top"] == [{"g": "x", "n": 9}]
+    ordered = rows(left.aggregate([{"$lookup": {"from": "r", "pipeline": [{"$unionWith": "r"}, {"$sort": {"n": -1}}, {"$project": {"_id": 0, "n": 1}}], "as": "s"}}]))
+    assert [x["n"] for x in ordered[0]["s"]] == [9, 9, 7, 7, 5, 5]
+
+
+def test_stages_inside_a_correlated_lookup(db):
+    left = put(db, [("x", 1), ("y", 2), ("z", 3)], "g string, _id int", "l")
+    put(db, [("x", 5, "p"), ("x", 9, "q"), ("x", 6, "p"), ("y", 7, "q")], "g string, n int, k string", "r")
+    put(db, [("p", "P!"), ("q", "Q!")], "k string, name string", "names")
+
+    def inside(*stages):
+        spec = {"from": "r", "let": {"g": "$g"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$g", "$$g"]}}}, *stages], "as": "s"}
+        return {r["g"]: r["s"] for r in rows(left.aggregate([{"$lookup": spec}]))}
+
+    assert inside({"$sortByCount": "$k"})["x"] == [{"_id": "p", "count": 2}, {"_id": "q", "count": 1}]
+    assert sorted(x["m"] for x in inside({"$replaceRoot": {"newRoot": {"m": "$n"}}})["x"]) == [5, 6, 9] and inside({"$replaceWith": {"m": "$n"}})["z"] == []
+    assert sorted((x["_id"], x["count"]) for x in inside({"$bucket": {"groupBy": "$n", "boundaries": [0, 7, 10]}})["x"]) == [(0, 2.0), (7, 1.0)]
+    ranked = inside({"$setWindowFields": {"sortBy": {"n": 1}, "output": {"r": {"$rank": {}}}}})
+    assert sorted((x["n"], x["r"]) for x in ranked["x"]) == [(5, 1), (6, 2), (9, 3)] and ranked["y"][0]["r"] == 1
+    parted = inside({"$setWindowFields": {"partitionBy": "$k", "sortBy": {"n": 1}, "output": {"r": {"$rank": {}}}}})
+    assert sorted((x["n"], x["r"]) for x in parted["x"]) == [(5, 1), (6, 2), (9, 1)]
+    assert len(inside({"$sample": {"size": 2}})["x"]) == 2 and len(inside({"$sample": {"size": 2}})["y"]) == 1
+    deep = inside({"$lookup": {"from": "names", "localField": "k", "foreignField": "k", "as": "d"}}, {"$unwind": "$d"}, {"$project": {"_id": 0, "n": 1, "d": "$d.name"}})
+    assert sorted((x["n"], x["d"]) for x in deep["x"]) == [(5, "P!"), (6, "P!"), (9, "Q!")] and deep["z"] == []
+    deeper = inside({"$lookup": {"from": "names", "let": {"k": "$k"}, "pipeline": [{"$match": {"$expr": {"$eq": ["$k", "$$k"]}}}], "as": "d"}})
+    assert sorted((x["n"], x["d"][0]["name"]) for x in deeper["x"]) == [(5, "P!"), (6, "P!"), (9, "Q!")]
+    assert inside({"$redact": {"$cond": [{"$gt": ["$n", 6]}, "$$PRUNE", "$$KEEP"]}})["y"] == []
+
+
+def test_first_values_hold_no_whole_group(db):
+    data = [(g, float(i * 37 % 101), i) for g in "ab" for i in range(100)] + [("c", None, 1), ("c", 2.0, None), (None, 1.0, 1)]
+    t = put(db, data, "g string, v double, i int")
+    df = t.aggregate([{"$sort": {"i": -1}}, {"$group": {"_id": "$g", "top": {"$topN": {"n": 2, "sortBy": {"v": -1}, "output": "$i"}}, "bottom": {"$bottomN": {"n": 2, "sortBy": {"v": 1}, "output": "$v"}}, "f": {"$firstN": {"n": 3, "input": "$i"}}, "l": {"$lastN": {"n": 2, "input": "$i"}}, "hi": {"$maxN": {"n": 2, "input": "$v"}}, "lo": {"$minN": {"n": 2, "input": "$i"}}, "n": {"$sum": 1}}}])
+    got = {r["_id"]: r for r in rows(df)}
+    best = sorted(range(100), key=lambda i: -(i * 37 % 101))[:2]
+    assert got["a"]["top"] == best and got["a"]["bottom"] == sorted(i * 37 % 101 for i in range(100))[-2:] and got["a"]["hi"] == [float(i * 37 % 101) for i in best]
+    assert got["b"]["f"] == [99, 98, 97] and got["b"]["l"] == [1, 0] and got["b"]["lo"] == [0, 1] and got["b"]["n"] == 100
+    assert got["c"]["hi"] == [2.0] and got["c"]["lo"] == [1] and got[None]["f"] == [1] and got["c"]["top"] == [None, 1]
+    assert "WindowGroupLimit" in df._jdf.queryExecution().toString(), "limited before the shuffle"
+
+
+def test_facet_leaves_no_cache(spark):
+    db = Database(spark, "/root/testdata/sf0.001")
+    db["orders"].aggregate([{"$facet": {"a": [{"$match": {"o_totalprice": {"$gt": 1000}}}, {"$count": "n"}], "b": [{"$sortByCount": "$o_orderstatus"}]}}]).collect()
+    plan = db["orders"].aggregate([{"$match": {"o_totalprice": {"$gt": 1000}}}])._jdf.queryExecution().toString()
+    assert "InMemoryTableScan" not in plan and "PushedFilters: [IsNotNull(o_totalprice)" in plan
+
+
+def test_merge_writes_nulls_and_wants_unique_keys(db):
+    from tessera.operators.updates import merge_into
+
+    old, new = put(db, [(1, "a", 1), (2, "b", 2)], "_id int, s string, n int", "o").frame, put(db, [(1, None)], "_id int, s string", "n").frame
+    assert sorted(map(tuple, merge_into(old, new, ["_id"]).collect())) == [(1, None, 1), (2, "b", 2)]
+    with pytest.raises(PipelineError) as e:
+        merge_into(old, new.union(new), ["_id"])
+    assert e.value.code == 11000
+
+
+def test_one_row_needs_a_key_of_its_own(db):
+    t = put(db, [(1, 5), (1, 6), (2, 7)], "_id int, n int")
+    for write in (lambda: t.update_one({}, {"$set": {"n": 0}}), lambda: t.delete_one({"n": 6}), lambda: t.replace_one({}, {"n": 0})):
+        with pytest.raises(PipelineError) as e:
+            write()
+        assert e.value.code == 11000
+    assert {r["n"] for r in rows(t.update_one({"n": 7}, {"$set": {"n": 8}}))} == {5, 6, 8}
+
+
+def test_many_literal_rows(db):
+    data = [{"_id": i, "a": {"b": i}} if i % 2 else {"_id": i, "c": "x"} for i in range(2000)]
+    got = db.aggregate([{"$documents": data}])
+    assert got.count() == 2000 and got.where("c = 'x'").count() == 1000 and got.agg({"_id": "max"}).first()[0] == 1999
+    t = put(db, [(-1, "y")], "_id int, c string").insert_many([{"_id": i, "c": "x"} for i in range(1500)])
+    assert t.count() == 1501
+
+
+def test_sparse_and_partial_keys(db):
+    for rule, ok, bad in (({"keys": ["k"], "sparse": True}, {"_id": 4, "k": None}, {"_id": 5, "k": 1}), ({"keys": ["k"], "partial": {"_id": {"$lt": 10}}}, {"_id": 40, "k": 1}, {"_id": 5, "k": 1})):
+        db.create("t", unique=[rule])
+        t = put(db, [(1, 1), (2, None), (3, 7)], "_id int, k int")
+        t.insert_many([ok])
+        with pytest.raises(PipelineError) as e:
+            t.insert_many([bad])
+        assert e.value.code == 11000
+
+
+def test_geometry_by_edges(db):
+    notch = {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [2, 1], [0, 4], [0, 0]]]}
+    ring = {"type": "Polygon", "coordinates": [[[0, 0], [9, 0], [9, 9], [0, 9], [0, 0]], [[3, 3], [6, 3], [6, 6], [3, 6], [3, 3]]]}
+    lines = put(db, [("across", ("LineString", [[0.5, 2.0], [3.5, 2.0]])), ("low", ("LineString", [[0.5, 0.5], [3.5, 0.5]])), ("hole", ("LineString", [[1.0, 4.0], [8.0, 4.0]])), ("dots", ("MultiPoint", [[0.5, 2.0], [3.5, 2.0]]))], "_id string, at struct<type:string,coordinates:array<array<double>>>", "lines")
+    within = lambda t, g: {r["_id"] for r in rows(t.find({"at": {"$geoWithin": {"$geometry": g}}}))}
+    meets = lambda t, g: {r["_id"] for r in rows(t.find({"at": {"$geoIntersects": {"$geometry": g}}}))}
+    assert within(lines, notch) == {"low", "dots"} and within(lines, ring) == {"across", "low", "dots"}
+    assert meets(lines, {"type": "LineString", "coordinates": [[2, 0], [2, 1.5]]}) == {"low"} and meets(lines, {"type": "MultiLineString", "coordinates": [[[2, 1.9], [2, 2.1]], [[50, 50], [51, 51]]]}) == {"across"}
+    assert meets(lines, {"type": "Point", "coordinates": [2, 2]}) == {"across"} and meets(lines, {"type": "MultiPoint", "coordinates": [[3.5, 2], [70, 70]]}) == {"across", "dots"}
+    assert meets(lines, {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 0.5]}, {"type": "LineString", "coordinates": [[7, 3], [7, 5]]}]}) == {"low", "hole"}
+    areas = put(db, [("big", ("Polygon", [[[-1.0, -1.0], [20.0, -1.0], [20.0, 20.0], [-1.0, 20.0], [-1.0, -1.0]]])), ("round", ("Polygon", [[[2.0, 2.0], [7.0, 2.0], [7.0, 7.0], [2.0, 7.0], [2.0, 2.0]]])), ("open", ("Polygon", [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0], [0.0, 0.0]], [[3.0, 3.0], [6.0, 3.0], [6.0, 6.0], [3.0, 6.0], [3.0, 3.0]]]))], "_id string, at struct<type:string,coordinates:array<array<array<double>>>>", "areas")
+    assert within(areas, ring) == {"open"}, "an area around a hole isn't within"
+    assert meets(areas, {"type": "Point", "coordinates": [4.5, 4.5]}) == {"big", "round"}, "the inside of a row's hole is outside"
+    assert meets(areas, {"type": "Polygon", "coordinates": [[[4, 4], [5, 4], [5, 5], [4, 4]]]}) == {"big", "round"}
+    parts = put(db, [("two", ("MultiPolygon", [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]], [[[8.0, 8.0], [9.0, 8.0], [9.0, 9.0], [8.0, 8.0]]]]))], "_id string, at struct<type:string,coordinates:array<array<array<array<double>>>>>", "parts")
+    assert meets(parts, {"type": "LineString", "coordinates": [[3, 6], [6, 3]]}) == set() and meets(parts, {"type": "LineString", "coordinates": [[0.5, -1], [0.5, 5]]}) == {"two"}, "no edge joins two parts"
