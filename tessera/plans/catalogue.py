@@ -10,35 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import udfs
 from tessera.operators import updates
-from tessera.sources.database import Database
+from tessera.plans.registry import QUERIES, R2, SQL, expression, flat, matching, pipeline, query
 from tessera.streaming import changes
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def pipeline(name: str, collection: str, stages: list[dict], sql: str | None = None, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> None:
-    QUERIES[name] = lambda spark, sf_dir: finish(Database(spark, sf_dir)[collection].aggregate(stages))
-    if sql:
-        SQL[name] = sql
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Database(spark, sf_dir))
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def flat(**columns: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.select(*[F.expr(e).alias(n) for n, e in columns.items()])
-
-
-R2 = lambda e, n=2: {"$round": [e, n]}
-
 # grouping
 PRICING = [
     {"$match": {"l_shipdate": {"$lte": datetime(1998, 9, 2)}}},
@@ -69,16 +43,12 @@ def distinct_field(db):
 
 
 # filters
-def matching(name: str, table: str, key: str, spec: dict, sql: str, before: list[dict] | None = None, source: str | None = None) -> None:
-    pipeline(name, table, [*(before or []), {"$match": spec}, {"$project": {"_id": 0, key: 1}}], f"SELECT {key} FROM {source or table} WHERE {sql}")
-
-
 matching("match_compare", "lineitem", "l_orderkey", {"l_quantity": {"$gte": 45}, "l_discount": {"$lt": 0.03}, "l_returnflag": {"$ne": "N"}}, "l_quantity >= 45 AND l_discount < 0.03 AND l_returnflag <> 'N'")
 matching("match_logical", "orders", "o_orderkey", {"$or": [{"o_orderstatus": "F", "o_totalprice": {"$lt": 50000}}, {"$nor": [{"o_totalprice": {"$lt": 300000}}, {"o_orderpriority": "1-URGENT"}]}]}, "(o_orderstatus = 'F' AND o_totalprice < 50000) OR NOT (o_totalprice < 300000 OR o_orderpriority = '1-URGENT')")
 matching("match_in_nin", "part", "p_partkey", {"p_size": {"$in": [1, 5, 9, 13]}, "p_brand": {"$nin": ["Brand#11", "Brand#12"]}}, "p_size IN (1, 5, 9, 13) AND p_brand NOT IN ('Brand#11', 'Brand#12')")
 NULLED = [{"$set": {"v": {"$cond": [{"$gt": ["$value", 50]}, "$value", None]}}}]
 matching("match_null_exists", "events", "event_id", {"$or": [{"v": None, "event_type": {"$exists": True}}, {"v": {"$exists": True, "$not": {"$lt": 90}}}], "nothing": {"$exists": False}}, "(v IS NULL) OR NOT (v < 90)", NULLED, "(SELECT *, CASE WHEN value > 50 THEN value END AS v FROM events)")
-matching("match_regex", "part", "p_partkey", {"p_name": {"$regex": "^[a-m].*1", "$options": "i"}}, "regexp_matches(p_name, '(?i)^[a-m].*1')")
+matching("match_regex", "part", "p_partkey", {"p_name": {"$regex": "^[A-M].*L", "$options": "i"}}, "regexp_matches(p_name, '(?i)^[A-M].*L')")
 matching("match_mod", "orders", "o_orderkey", {"o_orderkey": {"$mod": [7, 3]}}, "o_orderkey % 7 = 3")
 matching("match_bits", "customer", "c_custkey", {"c_custkey": {"$bitsAllSet": [0, 2], "$bitsAnyClear": 10}}, "(c_custkey & 5) = 5 AND (c_custkey & 10) <> 10")
 matching("match_expr", "lineitem", "l_orderkey", {"$expr": {"$gt": [{"$multiply": ["$l_quantity", 2000]}, "$l_extendedprice"]}}, "l_quantity * 2000 > l_extendedprice")
@@ -125,9 +95,9 @@ window("win_range", {"n": {"$count": {}, "window": {"range": [-7, 0], "unit": "d
 window("win_ema", {"e": {"$expMovingAvg": {"input": "$value", "N": 3}}}, f"list_reduce(list(value) OVER {EV} ROWS UNBOUNDED PRECEDING), lambda a, x: 0.5 * x + 0.5 * a) AS e")
 
 # gaps
-DAYS = [{"$group": {"_id": {"u": {"$toInt": {"$mod": ["$user_id", 20]}}, "d": {"$dayOfYear": "$ts"}}, "v": {"$sum": "$value"}}}, {"$project": {"_id": 0, "u": "$_id.u", "d": "$_id.d", "v": R2("$v", 4)}}]
-DAYS_SQL = "(SELECT CAST(user_id % 20 AS INTEGER) AS u, CAST(dayofyear(ts) AS INTEGER) AS d, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)"
-pipeline("densify", "events", [*DAYS, {"$match": {"d": {"$mod": [3, 0]}}}, {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "bounds": "full"}}}], f"WITH k AS (SELECT * FROM {DAYS_SQL} WHERE d % 3 = 0), e AS (SELECT u, min(d) AS lo, max(d) AS hi FROM k GROUP BY u), g AS (SELECT u, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS d FROM e) SELECT g.u, g.d, k.v FROM g LEFT JOIN k USING (u, d)")
+DAYS = [{"$group": {"_id": {"u": "$user_id", "d": {"$dateToString": {"date": "$ts", "format": "%Y-%m-%d"}}}, "v": {"$sum": "$value"}}}, {"$project": {"_id": 0, "u": "$_id.u", "d": {"$toInt": {"$dateDiff": {"startDate": {"$toDate": "2020-01-01T00:00:00Z"}, "endDate": {"$toDate": "$_id.d"}, "unit": "day"}}}, "v": R2("$v", 4)}}]
+DAYS_SQL = "(SELECT user_id AS u, CAST(date_diff('day', DATE '2020-01-01', CAST(ts AS DATE)) AS INTEGER) AS d, round(sum(value), 4) AS v FROM events GROUP BY 1, 2)"
+pipeline("densify", "events", [*DAYS, {"$densify": {"field": "d", "partitionByFields": ["u"], "range": {"step": 1, "bounds": "full"}}}], f"WITH k AS (SELECT * FROM {DAYS_SQL}), e AS (SELECT u, min(d) AS lo, max(d) AS hi FROM k GROUP BY u), g AS (SELECT u, CAST(unnest(range(lo, hi + 1)) AS INTEGER) AS d FROM e) SELECT g.u, g.d, k.v FROM g LEFT JOIN k USING (u, d)")
 HOLES = [*DAYS, {"$set": {"w": {"$cond": [{"$gt": ["$v", 100]}, "$v", None]}}}]
 HOLES_SQL = f"(SELECT *, CASE WHEN v > 100 THEN v END AS w FROM {DAYS_SQL})"
 pipeline("fill_value", "events", [*HOLES, {"$fill": {"output": {"w": {"value": 0}}}}], f"SELECT u, d, v, coalesce(w, 0) AS w FROM {HOLES_SQL}")
@@ -136,8 +106,20 @@ pipeline("fill_locf", "events", [*HOLES, {"$fill": {"partitionByFields": ["u"],
 # joins
 pipeline("lookup_eq", "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "orders"}}, {"$project": {"_id": 0, "c_custkey": 1, "n": {"$size": "$orders"}}}], "SELECT c_custkey, CAST(count(o_orderkey) AS INTEGER) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1")
 pipeline("lookup_unwind_inner", "orders", [{"$lookup": {"from": "customer", "localField": "o_custkey", "foreignField": "c_custkey", "as": "c"}}, {"$unwind": "$c"}, {"$group": {"_id": "$c.c_mktsegment", "total": {"$sum": "$o_totalprice"}, "n": {"$sum": 1}}}, {"$set": {"total": R2("$total")}}], "SELECT c_mktsegment AS _id, round(sum(o_totalprice), 2) AS total, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
-for _name, _test, _how in (("lookup_semi", {"$ne": []}, "IN"), ("lookup_anti", {"$eq": []}, "NOT IN")):
-    pipeline(_name, "customer", [{"$lookup": {"from": "orders", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": _test}}, {"$unset": "o"}, {"$project": {"_id": 0, "c_custkey": 1}}], f"SELECT c_custkey FROM customer WHERE c_custkey {_how} (SELECT o_custkey FROM orders)")
+URGENT = [{"$match": {"o_orderpriority": "1-URGENT", "o_totalprice": {"$gt": 300000}}}, {"$project": {"_id": 0, "o_custkey": 1}}]
+
+
+def _semi_or_anti(name: str, test: dict, how: str) -> None:
+    def run(db):
+        db.create("urgent", view_on="orders", pipeline=URGENT)
+        return db["customer"].aggregate([{"$lookup": {"from": "urgent", "localField": "c_custkey", "foreignField": "o_custkey", "as": "o"}}, {"$match": {"o": test}}, {"$unset": "o"}, {"$project": {"_id": 0, "c_custkey": 1}}])
+
+    run.__name__ = name
+    query(f"SELECT c_custkey FROM customer WHERE c_custkey {how} (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000)")(run)
+
+
+_semi_or_anti("lookup_semi", {"$ne": []}, "IN")
+_semi_or_anti("lookup_anti", {"$eq": []}, "NOT IN")
 pipeline("lookup_pipeline_let", "customer", [{"$lookup": {"from": "orders", "let": {"k": "$c_custkey", "least": {"$multiply": ["$c_acctbal", 20]}}, "pipeline": [{"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$k"]}, {"$gt": ["$o_totalprice", "$$least"]}]}}}, {"$sort": {"o_totalprice": -1, "o_orderkey": -1}}, {"$limit": 3}, {"$project": {"_id": 0, "o_orderkey": 1, "o_totalprice": 1}}], "as": "best"}}], "SELECT c_custkey, coalesce(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n) FILTER (WHERE n <= 3), '') AS best FROM (SELECT c_custkey, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_totalprice DESC, o_orderkey DESC) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > c_acctbal * 20) GROUP BY 1", flat(c_custkey="c_custkey", best="array_join(best.o_orderkey, ',')"))
 pipeline("lookup_array_local", "conversations", [{"$group": {"_id": "$conv_id", "turns": {"$addToSet": "$turn"}}}, {"$lookup": {"from": "nation", "localField": "turns", "foreignField": "n_nationkey", "as": "nations"}}, {"$project": {"_id": 1, "n": {"$size": "$nations"}}}], "SELECT conv_id AS _id, CAST(count(DISTINCT n_nationkey) AS INTEGER) AS n FROM conversations LEFT JOIN nation ON turn = n_nationkey GROUP BY 1")
 
@@ -155,10 +137,6 @@ pipeline("facet", "orders", [{"$facet": {"status": [{"$sortByCount": "$o_orderst
 
 
 # expressions
-def expression(name: str, table: str, key: str, fields: dict, sql: str, extra: dict | None = None) -> None:
-    pipeline(name, table, [*([{"$set": extra}] if extra else []), {"$project": {"_id": 0, key: 1, **fields}}], f"SELECT {key}, {sql} FROM {table}")
-
-
 expression("expr_arith", "orders", "o_orderkey", {"a": R2({"$add": ["$o_totalprice", 1.5, "$o_orderkey"]}), "m": {"$mod": ["$o_orderkey", 7]}, "d": R2({"$divide": ["$o_totalprice", 7]}, 6), "f": {"$floor": {"$divide": ["$o_totalprice", 1000]}}, "c": {"$ceil": {"$divide": ["$o_totalprice", 1000]}}, "t": {"$trunc": [{"$subtract": [1000, "$o_totalprice"]}, 0]}, "b": {"$abs": {"$subtract": [1000, "$o_totalprice"]}}}, "round(o_totalprice + 1.5 + o_orderkey, 2) AS a, CAST(o_orderkey % 7 AS DOUBLE) AS m, round(o_totalprice / 7, 6) AS d, floor(o_totalprice / 1000) AS f, ceil(o_totalprice / 1000) AS c, trunc(1000 - o_totalprice) AS t, abs(1000 - o_totalprice) AS b")
 expression("expr_trig", "supplier", "s_suppkey", {"s": R2({"$sin": "$s_suppkey"}, 9), "c": R2({"$cos": "$s_suppkey"}, 9), "t": R2({"$atan2": ["$s_suppkey", 3]}, 9), "r": R2({"$degreesToRadians": "$s_suppkey"}, 9), "l": R2({"$ln": "$s_suppkey"}, 9), "g": R2({"$log": ["$s_suppkey", 2]}, 9), "e": R2({"$sqrt": "$s_suppkey"}, 9), "p": {"$pow": ["$s_suppkey", 2]}}, "round(sin(s_suppkey), 9) AS s, round(cos(s_suppkey), 9) AS c, round(atan2(s_suppkey, 3), 9) AS t, round(radians(s_suppkey), 9) AS r, round(CASE WHEN s_suppkey = 0 THEN -1.0/0 ELSE ln(s_suppkey) END, 9) AS l, round(ln(s_suppkey) / ln(2), 9) AS g, round(sqrt(s_suppkey), 9) AS e, pow(s_suppkey, 2) AS p")
 expression("expr_string", "part", "p_partkey", {"u": {"$toUpper": "$p_name"}, "n": {"$strLenCP": "$p_name"}, "s": {"$substrCP": ["$p_name", 2, 4]}, "i": {"$indexOfCP": ["$p_name", "a"]}, "r": {"$replaceAll": {"input": "$p_name", "find": "a", "replacement": "<>"}}, "o": {"$replaceOne": {"input": "$p_name", "find": "a", "replacement": "<>"}}, "k": {"$concat": ["$p_brand", "-", "$p_type"]}, "w": {"$size": {"$split": ["$p_type", " "]}}, "z": {"$strcasecmp": ["$p_name", "m"]}, "t": {"$rtrim": {"input": "$p_brand", "chars": "0123456789"}}}, "upper(p_name) AS u, CAST(length(p_name) AS INTEGER) AS n, substr(p_name, 3, 4) AS s, CAST(instr(p_name, 'a') - 1 AS INTEGER) AS i, replace(p_name, 'a', '<>') AS r, CASE WHEN instr(p_name, 'a') > 0 THEN substr(p_name, 1, instr(p_name, 'a') - 1) || '<>' || substr(p_name, instr(p_name, 'a') + 1) ELSE p_name END AS o, p_brand || '-' || p_type AS k, CAST(len(string_split(p_type, ' ')) AS INTEGER) AS w, CAST(CASE WHEN lower(p_name) < 'm' THEN -1 WHEN lower(p_name) > 'm' THEN 1 ELSE 0 END AS INTEGER) AS z, rtrim(p_brand, '0123456789') AS t")
@@ -294,9 +272,22 @@ def view_scan(db):
     return db["located"].find({"r_name": {"$in": ["ASIA", "EUROPE"]}})
 
 
-# sampling, rows only
-pipeline("sample", "orders", [{"$sample": {"size": 50}}, {"$project": {"o_orderkey": 1}}])
-pipeline("sample_rate", "orders", [{"$match": {"$expr": {"$sampleRate": 0.1}}}, {"$project": {"o_orderkey": 1, "r": {"$rand": {}}}}])
+# sampling: what holds for every draw
+@query("SELECT least(50, count(*)) AS n, least(50, count(*)) AS n_different, least(50, count(*)) AS n_known FROM orders")
+def sample(db):
+    drawn = db["orders"].aggregate([{"$sample": {"size": 50}}, {"$project": {"o_orderkey": 1, "o_totalprice": 1}}])
+    known = db["orders"].frame.select("o_orderkey", "o_totalprice", F.lit(1).alias("known"))
+    joined = drawn.join(known, ["o_orderkey", "o_totalprice"], "left")
+    return joined.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_different"), F.count("known").alias("n_known"))
+
+
+@query("SELECT true AS about_a_tenth, true AS in_range FROM (SELECT count(*) AS n FROM lineitem) WHERE n > 0")
+def sample_rate(db):
+    """The draw's size is within six standard deviations of a tenth, and every random number is in [0, 1)."""
+    drawn = db["lineitem"].aggregate([{"$match": {"$expr": {"$sampleRate": 0.1}}}, {"$project": {"l_orderkey": 1, "r": {"$rand": {}}}}])
+    got = drawn.agg(F.count(F.lit(1)).alias("k"), F.min("r").alias("lo"), F.max("r").alias("hi"))
+    whole = db["lineitem"].frame.agg(F.count(F.lit(1)).alias("n"))
+    return got.crossJoin(whole).selectExpr("abs(k - 0.1 * n) <= 6 * sqrt(0.09 * n) as about_a_tenth", "lo >= 0 and hi < 1 as in_range")
 
 
 # streams
@@ -315,7 +306,7 @@ def _folder(db) -> str:
 
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18, 4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
 def stream_window_tumbling(db):
-    out = changes.run_to_end(changes.tumbling(_events(db), "ts", "1 day", "1 hour", "event_type"), _folder(db), "complete")
+    out = changes.run_bounded(_events(db), lambda rows: changes.tumbling(rows, "ts", "1 day", "1 hour", "event_type"), "ts", _folder(db))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("double").alias("total"))
 
 
@@ -325,15 +316,17 @@ def stream_watch(db):
     return changes.run_to_end(filtered.select("event_id", "user_id", "value"), _folder(db))
 
 
-@query("SELECT DISTINCT user_id, event_type FROM events")
+@query("SELECT DISTINCT user_id, event_type, date_trunc('day', ts) AS day FROM events")
 def stream_dedup(db):
-    rows = _events(db).select("user_id", "event_type").dropDuplicates(["user_id", "event_type"])
-    return changes.run_to_end(rows, _folder(db))
+    """The first event of a user, type and day; the watermark on the day bounds what is remembered."""
+    rows = _events(db).select("user_id", "event_type", F.date_trunc("day", F.col("ts").cast("timestamp")).alias("day")).withWatermark("day", "1 day").dropDuplicates(["user_id", "event_type", "day"])
+    return changes.run_to_end(rows, _folder(db)).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query()
+@query("SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 1 HOUR AS \"end\", count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events)) GROUP BY user_id, island")
 def stream_session(db):
-    return changes.run_to_end(changes.sessions(_events(db), "ts", "1 hour", "1 hour", "user_id"), _folder(db))
+    out = changes.run_bounded(_events(db), lambda rows: changes.sessions(rows, "ts", "1 hour", "1 hour", "user_id"), "ts", _folder(db))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 # registered Python
@@ -349,6 +342,9 @@ pipeline("udf_function", "events", [{"$project": {"_id": 0, "event_id": 1, "x":
 pipeline("udf_accumulator", "events", [{"$group": {"_id": "$event_type", "q": {"$accumulator": {"init": "sum_of_squares", "accumulateArgs": ["$value"]}}}}, {"$set": {"q": R2("$q", 2)}}], "SELECT event_type AS _id, round(sum(value * value), 2) AS q FROM events GROUP BY 1")
 
 
+from tessera.plans import variants  # noqa: E402, F401  registers more queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

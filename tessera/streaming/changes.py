@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,10 @@ from tessera.functions.scope import Scope
 from tessera.operators.stages import run_pipeline
 
 
+#: Later than any event.
+END = "9000-01-01 00:00:00"
+
+
 def change_events(before: DataFrame, after: DataFrame, key: str, db: str, coll: str, first: int = 1) -> DataFrame:
     """One event for each inserted, updated or deleted row, by one full outer join on the key.
 
@@ -76,6 +81,22 @@ def sessions(events: DataFrame, time: str, gap: str, late: str, *by: str) -> Dat
     return grouped.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *by, "n")
 
 
+def run_bounded(events: DataFrame, shape: Callable[[DataFrame], DataFrame], time: str, folder: str) -> DataFrame:
+    """The whole result of an event-time aggregate in append mode over a stream whose source has an end.
+
+    What is there is read to its end first. Then one row far in the future, from a second source, moves the watermark past every window and
+    session, so that the open ones come out too; its own never does. Output, state and that row are under ``folder``.
+    """
+    spark, end = events.sparkSession, f"{folder}/end"
+    bare = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema.fields])
+    spark.createDataFrame([], bare).write.parquet(end)
+    stream = shape(events.unionByName(spark.readStream.schema(bare).parquet(end)))
+    run_to_end(stream, folder)
+    last = spark.range(1).select(*[(F.lit(END) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in bare.fields])
+    last.write.mode("append").parquet(end)
+    return run_to_end(stream, folder)
+
+
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there now and reads its output back; output and checkpoint are under ``folder``."""
     spark = stream.sparkSession
