@@ -94,8 +94,8 @@ class Shape:
         return [*self.points, *[p for s in self.segments for p in s], *[p for rings in self.polygons for ring in rings for p in ring]]
 
     def holds(self, x: Column, y: Column) -> Column:
-        """Whether a polygon has the point, on its border too; the inside of a hole is outside."""
-        inside = [reduce(lambda a, hole: a & (~_in_ring(x, y, hole) | _on_ring(x, y, hole)), holes, _in_ring(x, y, outer)) for outer, *holes in self.polygons]
+        """Whether a polygon has the point, on its outer border too; a hole takes its border with it."""
+        inside = [reduce(lambda a, hole: a & ~_in_ring(x, y, hole), holes, _in_ring(x, y, outer)) for outer, *holes in self.polygons]
         return reduce(lambda a, b: a | b, inside, F.lit(False))
 
 
@@ -107,10 +107,6 @@ def _inner_point(ring: list) -> tuple[float, float]:
     return ((found[0] + found[1]) / 2, y) if found else tuple(ring[0])
 
 
-def _on_ring(x: Column, y: Column, ring: list) -> Column:
-    return reduce(lambda c, e: c | _on(x, y, *(F.lit(float(v)) for v in (*e[0], *e[1]))), zip(ring, [*ring[1:], ring[0]], strict=True), F.lit(False))
-
-
 def _cross(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 

@@ -450,7 +450,7 @@ def test_geometry_by_edges(db):
     assert meets(lines, {"type": "LineString", "coordinates": [[2, 0], [2, 1.5]]}) == {"low"} and meets(lines, {"type": "MultiLineString", "coordinates": [[[2, 1.9], [2, 2.1]], [[50, 50], [51, 51]]]}) == {"across"}
     assert meets(lines, {"type": "Point", "coordinates": [2, 2]}) == {"across"} and meets(lines, {"type": "MultiPoint", "coordinates": [[3.5, 2], [70, 70]]}) == {"across", "dots"}
     assert meets(lines, {"type": "GeometryCollection", "geometries": [{"type": "Point", "coordinates": [1, 0.5]}, {"type": "LineString", "coordinates": [[7, 3], [7, 5]]}]}) == {"low", "hole"}
-    areas = put(db, [("big", ("Polygon", [[[-1.0, -1.0], [20.0, -1.0], [20.0, 20.0], [-1.0, 20.0], [-1.0, -1.0]]])), ("round", ("Polygon", [[[2.0, 2.0], [7.0, 2.0], [7.0, 7.0], [2.0, 7.0], [2.0, 2.0]]])), ("open", ("Polygon", [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0], [0.0, 0.0]], [[3.0, 3.0], [6.0, 3.0], [6.0, 6.0], [3.0, 6.0], [3.0, 3.0]]]))], "_id string, at struct<type:string,coordinates:array<array<array<double>>>>", "areas")
+    areas = put(db, [("big", ("Polygon", [[[-1.0, -1.0], [20.0, -1.0], [20.0, 20.0], [-1.0, 20.0], [-1.0, -1.0]]])), ("round", ("Polygon", [[[2.0, 2.0], [7.0, 2.0], [7.0, 7.0], [2.0, 7.0], [2.0, 2.0]]])), ("open", ("Polygon", [[[0.0, 0.0], [9.0, 0.0], [9.0, 9.0], [0.0, 9.0], [0.0, 0.0]], [[2.0, 2.0], [7.0, 2.0], [7.0, 7.0], [2.0, 7.0], [2.0, 2.0]]]))], "_id string, at struct<type:string,coordinates:array<array<array<double>>>>", "areas")
     assert within(areas, ring) == {"open"}, "an area around a hole isn't within"
     assert meets(areas, {"type": "Point", "coordinates": [4.5, 4.5]}) == {"big", "round"}, "the inside of a row's hole is outside"
     assert meets(areas, {"type": "Polygon", "coordinates": [[[4, 4], [5, 4], [5, 5], [4, 4]]]}) == {"big", "round"}
