@@ -55,7 +55,7 @@ def _secrets() -> str:
     free AS (SELECT doc_id, s, start FROM found f WHERE rank = 3 AND NOT ({allowed}) AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = f.doc_id AND b.start < f.start + length(f.s) AND f.start < b.stop)),
     windows AS (SELECT doc_id, s, start, i, list_aggregate(string_split(s[i:i + {w - 1}], ''), 'entropy') AS h FROM (SELECT doc_id, s, start, unnest(range(1, length(s) - {w} + 2)) AS i FROM free)),
     added AS (SELECT doc_id, 3 AS rank, 'entropy' AS kind, start + min(i) - 1 AS start, start + max(i) + {w - 1} AS stop FROM windows
-        WHERE h >= CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN {secrets.LEAST['hex']} ELSE {secrets.LEAST['base64']} END GROUP BY doc_id, s, windows.start),
+        WHERE h >= CASE WHEN regexp_full_match(s, '[0-9a-fA-F]+') THEN {secrets.LEAST['hex']} ELSE {secrets.LEAST['base64']} END GROUP BY doc_id, s, windows.start HAVING NOT regexp_matches(s[min(i):max(i) + {w - 1}], '{secrets.PLACEHOLDERS}')),
     texts AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS a, count(*) FILTER (WHERE rank = 1) AS b, count(*) FILTER (WHERE rank = 2) AS c, count(*) FILTER (WHERE rank = 3) AS d,
         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank < 3) AS base, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans
         FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)

@@ -1,8 +1,10 @@
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import regex
 
 from tessera.llm import private as m
 from tessera.llm.queries import queries
@@ -83,3 +85,35 @@ def test_weak_spans(spark):
 
 def test_odd_rows(odd, empty):
     assert m.report(odd).count() == odd.count() and m.report(empty).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    part = "mail a@b.com or call +1 (555) 555-0100, phone: (212) 555-1000. é "
+    docs = spark.createDataFrame([(1, part * 8_000)], "doc_id long, text string")
+    began = time.monotonic()
+    (r,) = m.report(docs).collect()
+    assert time.monotonic() - began < 90 and r["n_email"] == r["n_phone"] == 8_000
+    assert fields(r) == slow(part * 8_000)
+
+
+def slow_candidates(text):
+    """Runs that overlap no base span, with what stands around them: (start, end, before, after)."""
+    base = [tuple(map(int, x.split(":")[1:])) for x in slow(text)[5]]
+    found = [x.span() for p in (m.NUMBER, m.WRITTEN) for x in regex.finditer(p, text)]
+    return sorted((a, b, text[max(a - 24, 0) : a], text[b : b + 2]) for a, b in found if not any(x < b and a < y for x, y in base))
+
+
+def test_weak_candidates_and_votes_against_brute_force(spark):
+    """Which runs are candidates, and the votes of the labelers that look around them."""
+    texts = [*CASES, "🙂 écrire à Jean: 0123 456 789, ISBN 978-3-16-148410-0 page 1234567 " * 40, "Maria (212) 555-0100 Berlin 212-555-0101 price 2024-01-02 jane [at] x [dot] org, x@y.z 1.2.3.4 00491234567"]
+    got = {r["doc_id"]: r["candidates"] for r in m.spans_and_candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    names = list(m.LABELERS)
+    for i, text in enumerate(texts):
+        weak = sorted((c["start"], c["end"], c["votes"]) for c in got[i] if c["rank"] == 4)
+        want = slow_candidates(text)
+        assert [(a, b) for a, b, _ in weak] == [(a, b) for a, b, _, _ in want]
+        for (_, _, votes), (_, _, before, _) in zip(weak, want, strict=True):
+            assert votes[names.index("pattern")] == -1
+            assert (votes[names.index("names")] == 1) == bool(regex.search(rf"(?i)(^|[^\p{{L}}])({m.NAMES})([^\p{{L}}]|$)", before))
+            assert (votes[names.index("cue")] == 1) == bool(regex.search(rf"(?i)(^|[^\p{{L}}])({m.CUES})[^\p{{L}}]{{0,8}}$", before))
+        assert sum(c["rank"] < 4 and c["votes"][names.index("pattern")] == 1 for c in got[i]) == len(slow(text)[5])

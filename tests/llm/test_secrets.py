@@ -1,4 +1,5 @@
 import re
+import time
 from collections import Counter
 from hashlib import sha256
 from math import log2
@@ -24,7 +25,7 @@ def slow(text):
             continue
         least = m.LEAST["hex" if re.fullmatch("[0-9a-fA-F]+", x[0]) else "base64"]
         high = [i for i in range(len(x[0]) - m.WINDOW + 1) if entropy(x[0][i : i + m.WINDOW]) >= least - 1e-12]
-        if high:
+        if high and not re.search(m.PLACEHOLDERS, x[0][high[0] : high[-1] + m.WINDOW]):
             added.append((x.start() + high[0], 3, x.start() + high[-1] + m.WINDOW, "entropy"))
     text_of = lambda spans: ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
     n = Counter(b[3] for b in base)
@@ -46,6 +47,7 @@ CASES = [
     "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3Q0NTY3ODkw" + "z" * 60 + "Zx81kQp0vR7sLm2TnW4y",
     "ToKen\"  =  \"q1w2e3r4t5y6u7i8o9p0\" secret=\nabcdef apikey=KKabc ſecret=abcdef",
     "secret" * 5 + "=" + "=" * 30,
+    "/v1/sample/Zx81kQp0vR7sLm2TnW4yBd9Hc3 SAMPLE_KEY=Zx81kQp0vR7sLm2TnW4y Zx81kQp0exampleR7sLm2TnW4yBd9Hc3",
     "",
 ]
 
@@ -78,3 +80,15 @@ def test_redaction(spark):
 def test_odd_rows(odd, empty):
     assert m.report(odd).count() == odd.count() and m.report(empty).count() == 0
     assert {r["spans"] for r in m.report(odd).collect()} == {""}
+
+
+def test_many_matches_in_one_text(spark):
+    """Work grows about in proportion to the matches of a text."""
+    part = "token=abcdef123 Zx81kQp0vR7sLm2TnW4yBd9Hc3 é "
+    docs = spark.createDataFrame([(1, part * 12_000)], "doc_id long, text string")
+    began = time.monotonic()
+    (r,) = m.report(docs).collect()
+    spans = r["spans"].split(",")
+    assert time.monotonic() - began < 60 and r["n_assign"] == 12_000 and len(spans) == 24_000
+    last = 11_999 * len(part)
+    assert spans[-2:] == [f"assign:{last}:{last + 15}", f"entropy:{last + 16}:{last + 42}"]
