@@ -1,4 +1,7 @@
+import math
+
 import numpy as np
+import zstandard as z
 
 from tessera.llm import quality as m
 from tessera.llm.queries import queries
@@ -29,3 +32,41 @@ def test_odd_rows(spark, odd, empty):
     assert m.score_quality(empty, labels).count() == 0
     assert {r["score"] for r in m.score_quality(odd, labels.where("false")).collect()} == {0.5}
     assert m.score_quality(odd, labels.where("quality = 1")).count() == odd.count()
+
+
+def slow_score(text, model):
+    """The score of one text, a fresh compressor for every piece."""
+    kind = z.DICT_TYPE_RAWCONTENT if model.raw else z.DICT_TYPE_FULLDICT
+
+    def size(piece, content):
+        own = {"dict_data": z.ZstdCompressionDict(content, dict_type=kind)} if content else {}
+        return len(z.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False, write_checksum=False, **own).compress(piece))
+
+    raw = (text or "").encode()
+    pieces = [raw[i : i + 256] for i in range(0, len(raw), 256)] or [b""]
+    good, bad = [size(p, model.good) for p in pieces], [size(p, model.bad) for p in pieces]
+    each = [(b - g) / (b + g) for g, b in zip(good, bad, strict=True)]
+    x = [(sum(bad) - sum(good)) / (sum(bad) + sum(good)), min(each), max(each), sum(good) / max(len(raw), 1), sum(bad) / max(len(raw), 1), size(raw, None) / max(len(raw), 1)]
+    total = model.weights[-1]
+    for k in range(6):
+        total += (min(max(x[k], model.low[k]), model.high[k]) - model.mean[k]) / model.scale[k] * model.weights[k]
+    return 1 / (1 + math.exp(-min(max(total, -30), 30)))
+
+
+def test_scores_against_brute_force(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = m.train(docs, labels)
+    some = docs.where("doc_id < 60").unionByName(spark.createDataFrame([(-1, None), (-2, "")], "doc_id long, text string"), allowMissingColumns=True)
+    found = m._featured(some.select("doc_id", m.held_out().alias("held_out"), "text"), spark.sparkContext.broadcast((model.good, model.bad, model.raw)))
+    assert found.count() == some.count()
+    got = {r["doc_id"]: r["score"] for r in m.score_quality(docs, labels).where("doc_id < 60").collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.where("doc_id < 60").collect()}
+    assert got and all(abs(got[i] - slow_score(texts[i], model)) < 1e-9 for i in got)
+
+
+def test_repeated_ids_are_sampled_once(spark):
+    rows = [(i, f"some {'good' if i % 2 else 'bad'} words number {i} and more of them") for i in range(40)] + [(1, f"text {k}") for k in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = (m.train(docs.repartition(n), labels) for n in (3, 11))
+    assert a.good == b.good and a.bad == b.bad and len(a.good) < 10_000
