@@ -19,8 +19,8 @@ from tessera.llm.common import held_out, share_of
 
 #: Trigrams fall into so many cells.
 CELLS = 1 << 16
-#: Expectation-maximisation steps for each set of languages.
-STEPS = 12
+#: Expectation-maximisation ends once no proportion changes by more than this in a step.
+SETTLED = 1e-4
 
 
 @lru_cache(maxsize=1)
@@ -34,10 +34,10 @@ def trigrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     if not text:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     x = _folds()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4")]
-    x = np.concatenate(([np.uint32(32)], x[(x != 32) | (np.concatenate(([0], x[:-1])) != 32)], [np.uint32(32)]))
-    if (x == 32).all():
+    x = np.concatenate(([32], x, [32])).astype(np.uint64)
+    x = x[(x != 32) | (np.concatenate(([0], x[:-1])) != 32)]
+    if len(x) < 3:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x = x.astype(np.uint64)
     h = (x[:-2] * np.uint64(0x9E3779B97F4A7C15)) ^ (x[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F)) ^ (x[2:] * np.uint64(0x165667B19E3779F9))
     h = ((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)
     counts = np.bincount(h.astype(np.int64), minlength=0)
@@ -59,32 +59,34 @@ def train(docs: DataFrame, rows_per_lang: int = 2000) -> tuple[list[str], np.nda
     share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, rows_per_lang / sizes[k])))]), F.col("lang"))
     some = known.where(F.col("lang").isin(langs)).where(F.pmod(F.xxhash64("doc_id", F.lit("lang")), F.lit(1 << 30)) < share * (1 << 30))
 
+    place = {x: i for i, x in enumerate(langs)}
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[str, np.ndarray] = {}
+            sums: dict[int, np.ndarray] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 cells, counts = trigrams(text)
                 if len(cells):
-                    sums.setdefault(lang, np.zeros(CELLS, np.int64))[cells] += counts
-            for lang, total in sums.items():
+                    sums.setdefault(place[lang], np.zeros(CELLS, np.int64))[cells] += counts
+            for at, total in sums.items():
                 cells = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(cells)), pa.array(cells), pa.array(total[cells])], ["lang", "cell", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), at, np.int32)), pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["lang", "cell", "n"])
 
-    rows = some.select("lang", "text").mapInArrow(work, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    rows = some.select("lang", "text").mapInArrow(work, "lang int, cell int, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
     table = np.full((CELLS, len(langs)), 0.05)
-    at = np.array([langs.index(x) for x in rows.column("lang").to_pylist()], np.int64)
-    table[rows.column("cell").to_numpy(), at] += rows.column("n").to_numpy()
+    table[rows.column("cell").to_numpy(), rows.column("lang").to_numpy()] += rows.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=0))
 
 
 def mixture(counts: np.ndarray, likes: np.ndarray) -> tuple[np.ndarray, float]:
     """(proportions, log-likelihood) by expectation-maximisation; ``likes`` holds each cell's likelihoods in each language."""
     share = np.full(likes.shape[1], 1 / likes.shape[1])
-    for _ in range(STEPS):
-        parts = likes * share
-        parts /= parts.sum(axis=1, keepdims=True)
-        share = np.maximum(counts @ parts / counts.sum(), 1e-6)
-        share /= share.sum()
+    weight = counts / counts.sum()
+    while len(share) > 1:
+        new = share * ((weight / (likes @ share)) @ likes)
+        moved, share = np.abs(new - share).max(), new / new.sum()
+        if moved < SETTLED:
+            break
     return share, float(counts @ np.log(likes @ share))
 
 
@@ -99,8 +101,9 @@ def infer(text: str | None, langs: list[str], table: np.ndarray) -> tuple[str, f
     counts = counts.astype(float)
     total = counts.sum()
     share, best = mixture(counts, likes)
-    use = np.flatnonzero(share >= 0.02)  # the rest can't pay for itself
+    use = np.flatnonzero(share * total >= 1)  # a language of less than one trigram can't pay for itself
     if len(use) < len(share):
+        use = use if len(use) else np.array([share.argmax()])
         share, best = mixture(counts, likes[:, use])
     penalty = np.log(total) / 2
     while len(use) > 1:

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +62,64 @@ def test_more_than_500_languages(spark):
     docs = spark.range(2400).selectExpr("id as doc_id", "concat('some words ', id % 600) as text", "concat('l', id % 600) as lang")
     known = docs.where(~m.held_out()).select("lang").distinct().count()
     assert known > 500 and len(m.train(docs)[0]) == known
+
+
+def slow_trigrams(text):
+    """Counts by cell: letters in lower case, everything else one space."""
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    letters = " " + " ".join(letters.split()) + " "
+    out = {}
+    for a, b, c in zip(letters, letters[1:], letters[2:]):
+        h = (ord(a) * 0x9E3779B97F4A7C15 ^ ord(b) * 0xC2B2AE3D27D4EB4F ^ ord(c) * 0x165667B19E3779F9) & (1 << 64) - 1
+        h = (sum((x & (1 << 64) - 1) for x in [h ^ h >> 29]) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 48
+        out[h] = out.get(h, 0) + 1
+    return out
+
+
+def slow_infer(text, langs, table):
+    """Expectation-maximisation and the choice of languages in plain loops."""
+    counts = slow_trigrams(text) if text and any(c.isalpha() for c in text) else {}
+    if not counts:
+        return "und", [], []
+    total = sum(counts.values())
+
+    def settle(use):
+        share = [1 / len(use)] * len(use)
+        while True:
+            new = [0.0] * len(use)
+            for cell, n in counts.items():
+                parts = [s * math.exp(table[cell][k]) for s, k in zip(share, use, strict=True)]
+                for i, p in enumerate(parts):
+                    new[i] += n * p / sum(parts) / total
+            moved = max(abs(a - b) for a, b in zip(new, share, strict=True))
+            share = new
+            if moved < m.SETTLED or len(use) == 1:
+                break
+        like = sum(n * math.log(sum(s * math.exp(table[cell][k]) for s, k in zip(share, use, strict=True))) for cell, n in counts.items())
+        return share, like
+
+    use = list(range(len(langs)))
+    share, best = settle(use)
+    some = [k for k in use if share[k] * total >= 1] or [max(use, key=lambda k: share[k])]
+    if some != use:
+        use = some
+        share, best = settle(use)
+    while len(use) > 1:
+        less = [k for i, k in enumerate(use) if i != share.index(min(share))]
+        new, like = settle(less)
+        if like - math.log(total) / 2 * len(less) + math.log(total) / 2 * len(use) < best:
+            break
+        use, share, best = less, new, like
+    order = sorted(range(len(use)), key=lambda i: -share[i])
+    return langs[use[order[0]]], [langs[use[i]] for i in order], [share[i] for i in order]
+
+
+def test_inference_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    langs, table = m.train(docs)
+    rows = docs.where("doc_id < 40").collect()
+    texts = [(r["text"] or "")[:1500] for r in rows] + [None, "", "12", "a", " ".join((r["text"] or "")[:300] for r in rows[:6])]
+    for text in texts:
+        lang, score, names, shares = m.infer(text, langs, table)
+        want, slow_names, slow_shares = slow_infer(text, langs, table)
+        assert (lang, names) == (want, slow_names) and np.allclose(shares, slow_shares, atol=1e-6) and 0 <= score <= 1
