@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 #: Words of a window.
 WINDOW = 13
-#: Bytes of benchmark text for one broadcast set; a larger benchmark is scanned for in several sets.
-SET_BYTES = 8_000_000
+#: Bytes of benchmark text for one broadcast set, of about five times that size; a larger benchmark is scanned for in several sets.
+SET_BYTES = 64_000_000
 #: Bytes of document text that are scanned at once, but never less than a whole document.
 SCAN_BYTES = 4_000_000
 
@@ -93,50 +93,67 @@ def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, np.concatenate(([0], np.cumsum([len(t) for t in texts])))[:-1].astype(np.int64)
 
 
-def window_set(items: list[tuple[str, bytes]]) -> dict:
-    """{words of a window: (sorted hashes, {hash: {words: item ids}}, bitmap of the hashes' first bits)} of benchmark items.
+class Windows:
+    """The windows of k words of benchmark items, in the order of their hashes: arrays, and the items' words as one text.
 
-    An item of fewer words than WINDOW, but not none, is one window.
+    Window i is ``text[start[i] : end[i]]`` of item ``item[i]``; equal windows of several items stand next to each other. ``seen`` has the
+    first bits of all hashes.
     """
-    sets: dict[int, dict[int, dict[bytes, list[str]]]] = {}
-    for item_id, text in items:
+
+    def __init__(self, hashes: np.ndarray, item: np.ndarray, start: np.ndarray, end: np.ndarray, text: bytes):
+        order = np.lexsort((start, hashes))
+        self.hashes, self.item, self.start, self.end, self.text = hashes[order], item[order], start[order], end[order], text
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.hashes >> SLOT).astype(np.int64)] = True
+
+    def items_of(self, h: int, key: bytes) -> set[int]:
+        """Numbers of the items that have the window ``key``, whose hash is ``h``."""
+        lo, hi = np.searchsorted(self.hashes, U(h), "left"), np.searchsorted(self.hashes, U(h), "right")
+        return {int(self.item[i]) for i in range(lo, hi) if self.text[self.start[i] : self.end[i]] == key}
+
+
+def window_set(items: list[tuple[str, bytes]]) -> tuple[list[str], dict[int, Windows]]:
+    """(item ids, {words of a window: windows}). An item of fewer words than WINDOW, but not none, is one window."""
+    found: dict[int, list[tuple]] = {}
+    bodies, at = [], 0
+    for number, (_, text) in enumerate(items):
         words = Words(*_joined([text]))
         k = min(WINDOW, len(words.hash))
         if k:
             hashes, _ = words.windows(k)
-            for at, h in enumerate(hashes.tolist()):
-                ids = sets.setdefault(k, {}).setdefault(h, {}).setdefault(words.key(at, k), [])
-                if item_id not in ids:
-                    ids.append(item_id)
-    out = {}
-    for k, s in sets.items():
-        hashes, seen = np.array(sorted(s), U), np.zeros(1 << 20, bool)
-        seen[(hashes >> SLOT).astype(np.int64)] = True
-        out[k] = hashes, s, seen
-    return out
-
-
-def scan(texts: list[bytes], sets: dict) -> tuple[list[int], dict[int, tuple[list[tuple[int, int]], set[str]]]]:
+            body = words.key(0, len(words.hash))
+            lengths = words.end - words.start
+            starts = at + np.cumsum(lengths + 1) - (lengths + 1)
+            n = len(hashes)
+            found.setdefault(k, []).append((hashes, np.full(n, number, np.int32), starts[:n], starts[k - 1 :] + lengths[k - 1 :]))
+            bodies.append(body)
+            at += len(body) + 1
+    text = b" ".join(bodies)
+    return [i for i, _ in items], {k: Windows(*(np.concatenate(c) for c in zip(*parts, strict=True)), text) for k, parts in found.items()}
+
+
+def scan(texts: list[bytes], sets: tuple[list[str], dict[int, Windows]]) -> tuple[list[int], dict[int, tuple[list[tuple[int, int]], set[str]]]]:
     """(words of each text, {text: (runs of hit words as (first, end), item ids)})."""
     words = Words(*_joined(texts)) if texts else None
     if words is None:
         return [], {}
+    ids, windows = sets
     n_words = np.bincount(words.text, minlength=len(texts)).tolist()
     first_word = np.searchsorted(words.text, np.arange(len(texts)))
     found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
-    for k, (hashes, exact, seen) in sets.items():
+    for k, known in windows.items():
         at, one_text = words.windows(k)
         if not len(at):
             continue
-        maybe = np.flatnonzero(seen[(at >> SLOT).astype(np.int64)] & one_text)
-        place = np.minimum(np.searchsorted(hashes, at[maybe]), len(hashes) - 1)
-        for i in maybe[hashes[place] == at[maybe]].tolist():
-            ids = exact[int(at[i])].get(words.key(i, k))
-            if ids:
+        maybe = np.flatnonzero(known.seen[(at >> SLOT).astype(np.int64)] & one_text)
+        place = np.minimum(np.searchsorted(known.hashes, at[maybe]), len(known.hashes) - 1)
+        for i in maybe[known.hashes[place] == at[maybe]].tolist():
+            hit = known.items_of(int(at[i]), words.key(i, k))
+            if hit:
                 t = int(words.text[i])
                 runs, items = found.setdefault(t, ([], set()))
                 runs.append((i - int(first_word[t]), i - int(first_word[t]) + k))
-                items.update(ids)
+                items.update(ids[n] for n in hit)
     return n_words, {t: (union(runs), items) for t, (runs, items) in found.items()}
 
 
@@ -211,7 +228,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, with_text: bool =
         part = rows.mapInArrow(_scan_rows(one(k), True), SCHEMA + ", text string").where(F.size("items") > 0).select("doc_id", F.sha2("text", 256).alias("text_key"), "hits", "items")
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("hits")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    empty = docs.sparkSession.sparkContext.broadcast({})
+    empty = docs.sparkSession.sparkContext.broadcast(([], {}))
     base = rows.mapInArrow(_scan_rows(empty, True), SCHEMA + ", text string").select("doc_id", "n_words", "text").withColumn("text_key", F.sha2("text", 256))
     joined = base.join(merged, base["doc_id"].eqNullSafe(merged["doc_id"]) & (base["text_key"] == merged["text_key"]), "left").select(base["doc_id"], "n_words", "runs", "items", "text")
     step = """aggregate(array_sort(runs), cast(array() as array<struct<first:bigint,end:bigint>>), (done, x) ->
