@@ -8,7 +8,7 @@ of 137 starts at most.
 1.  Tasks sort the anchors of each batch of documents. Those that repeat inside are known at once; the others, and one witness for
     each repeated one, go to shards by anchor. A shard keeps sorted levels: a new batch is merge-scanned against every
     level, and levels of equal size merge.
-2.  Segments with a repeated anchor whose whole text repeats are removed as a whole. The others, at the edges of matches, are
+2.  Segments with a repeated anchor whose whole text repeats (told by two hashes of 64 bits) are removed as a whole. The others, at the edges of matches, are
     fetched with one copy of each repeated segment of their anchor. A shard makes an array of the suffixes at all their starts, sorted by
     their first 200 bytes (by a hash of them; equal neighbours are compared byte by byte), and again scans it against its levels and
     merges equal ones.
@@ -60,7 +60,9 @@ def _prefix_hash(data: np.ndarray, values: np.ndarray, base: int):
 
 
 def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
-    """Segments of all texts: anchor h, hash c of the text of the segment (all bytes of its starts' strings), text number, first start, starts."""
+    """Segments of all texts: anchor h, XXH3 hash c of the text of the segment (all bytes of its starts' strings), text number, first start, starts."""
+    import xxhash
+
     none = {k: np.empty(0, np.int64) for k in ("h", "c", "text", "at", "n")}
     lengths = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -85,7 +87,8 @@ def segments(texts: list[bytes]) -> dict[str, np.ndarray]:
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
     run = np.diff(np.append(first, len(at)))
-    c = _prefix_hash(data, _SEGMENT_BYTES, _SEGMENT_BASE)(at[first], at[first] + run + LENGTH - 1) ^ (run.astype(U) * U(0x2545F4914F6CDD1D))
+    body, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+    c = np.array([digest(body[a:b]) for a, b in zip(at[first].tolist(), (at[first] + run + LENGTH - 1).tolist(), strict=True)], U)
     h = grams[(anchor[first] & ((U(1) << POSITION) - U(1))).astype(np.int64)]
     return {"h": h.view(np.int64), "c": c.view(np.int64), "text": text[first], "at": place[first], "n": run}
 
@@ -300,8 +303,8 @@ def repeated_starts(keyed: DataFrame) -> DataFrame:
     whole = flagged.where("copies != 1").unionByName(joined).select("key", "tag", F.col("at").alias("first"), (F.col("at") + F.col("n")).alias("end"))
     asking = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("copies").alias("least")).where("least = 1 and kinds > 1").select("h", "kinds")
     needed = kinds.join(asking, "h").select("h", "kinds", "one.*", (F.col("copies") == 1).alias("asks"))
-    by_doc = needed.groupBy(F.col("key").alias("_k")).agg(F.collect_list(F.struct("h", "kinds", "tag", "at", "n", "asks")).alias("need"))
-    fetched = _fetched(_packed(keyed).join(by_doc, F.col("key") == F.col("_k")).select("key", "tag", "packed", "need"))
+    by_text = needed.groupBy("key", "tag").agg(F.collect_list(F.struct("h", "kinds", "at", "n", "asks")).alias("need"))
+    fetched = _fetched(_packed(keyed).join(by_text, ["key", "tag"]).select("key", "tag", "packed", "need"))
     fetched = written(fetched, "edges")
     size = needed.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     near = _edge_runs(fetched.where(F.col("kinds") <= SHARD_SEGMENTS), -(-size // SHARD_BYTES) or 1)
@@ -334,9 +337,8 @@ def _fetched(rows: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 200):
                 out = []
                 for key, tag, packed, need in zip(*(batch.column(k).slice(at, 200).to_pylist() for k in range(4)), strict=True):
-                    wanted = [x for x in need if x["tag"] == tag]
-                    text = unpack(packed) if wanted else b""
-                    out += [(x["h"], x["kinds"], key, tag, x["at"], x["n"], x["asks"], text[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in wanted]
+                    text = unpack(packed)
+                    out += [(x["h"], x["kinds"], key, tag, x["at"], x["n"], x["asks"], text[x["at"] : x["at"] + x["n"] + LENGTH - 1]) for x in need]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out, strict=True)) or [()] * 8, types, strict=True)], list(names))
 
     return rows.mapInArrow(work, "h bigint, kinds bigint, key bigint, tag int, at int, n int, asks boolean, body binary")
@@ -349,7 +351,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     the input, so all occurrences of a string go, the first one too. What is kept may end inside a UTF-8 character. Other columns are not read.
     """
     keyed = _keyed(docs)
-    runs = repeated_starts(keyed).groupBy(F.col("key").alias("_k")).agg(F.collect_set(F.struct("tag", "first", "end")).alias("runs"))
+    runs = repeated_starts(keyed).groupBy("key", "tag").agg(F.collect_set(F.struct("first", "end")).alias("runs"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -357,10 +359,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             n_bytes, spans, kept = [], [], []
-            for tag, packed, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for packed, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 text = unpack(packed)
                 own: list[list[int]] = []
-                for first, end in sorted((r["first"], r["end"] + LENGTH - 1) for r in runs or () if r["tag"] == tag):
+                for first, end in sorted((r["first"], r["end"] + LENGTH - 1) for r in runs or ()):
                     if own and first <= own[-1][1]:
                         own[-1][1] = max(own[-1][1], end)
                     else:
@@ -371,7 +373,7 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip((n_bytes, spans, kept), types, strict=True))], ["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = _packed(keyed).join(runs, F.col("key") == F.col("_k"), "left").select("doc_id", "tag", "packed", "runs")
+    joined = _packed(keyed).join(runs, ["key", "tag"], "left").select("doc_id", "packed", "runs")
     return joined.mapInArrow(work, "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
 
 
