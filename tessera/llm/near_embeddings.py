@@ -10,6 +10,7 @@ Counting touches all pairs of a label, whatever its size, in pairs of blocks.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from math import comb, erf, sqrt
 
 import numpy as np
@@ -24,8 +25,8 @@ from tessera.llm.near_simhash import stars
 
 #: Lines, half width of a window in standard deviations of the difference of two vectors at the threshold, and recall of the count.
 LINES, HALF_WIDTH, RECALL = 32, 2.0, 0.9999
-#: Vectors of a block. CELL bounds nothing any more: labels of every size are compared whole.
-CELL, BLOCK = 20_000, 2048
+#: Vectors of a block. A block travels once for each other block of its label, so large ones shuffle less.
+BLOCK = 8192
 #: Queries counted at once.
 QUERIES = 256
 
@@ -41,6 +42,7 @@ def least_count(lines: int = LINES, half_width: float = HALF_WIDTH, recall: floa
     return 0
 
 
+@lru_cache(maxsize=8)
 def _lines(dim: int, n: int, what: int) -> np.ndarray:
     return np.random.default_rng((dim, n, what)).normal(size=(dim, n))
 
