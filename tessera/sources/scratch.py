@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -21,18 +22,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return found
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+    except Exception:  # the session has ended; the shared folder is cleared by its owner
+        pass
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write and read back: cuts the lineage and fixes values such as generated ids."""
+    """Write and read back: cuts the lineage and fixes values such as generated ids. The files live until the Python process ends."""
     target = f"{scratch_dir(df.sparkSession)}/tessera-{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
+    atexit.register(_remove, df.sparkSession, target)
     return df.sparkSession.read.schema(df.schema).parquet(target)
 
 
 def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with a row number over the whole table from 1 on, without one task that sees all rows.
 
-    Rows are dealt by ranges of the order and numbered inside; the driver gets one count for each partition.
+    Rows are dealt by ranges of the order and numbered inside; the driver gets one count for each partition. Ties are dealt and numbered
+    by a hash of the row, so that one frequent value isn't one task.
     """
+    plain = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and "void" not in f.dataType.simpleString()]
+    order = [*order, F.xxhash64(*plain).asc()]
     part = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = part.groupBy("_part").count().orderBy("_part").collect()
     offsets, total = [], 0
