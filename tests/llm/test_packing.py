@@ -69,6 +69,15 @@ def test_ids_of_random_texts():
         assert m.encode(text, path).tolist() == exact.encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_every_code_point():
+    """Each code point after a letter, after a space and alone among others, by both encoders."""
+    exact, path = Tokenizer.from_file(m.default_tokenizer()), m.default_tokenizer()
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 20_000):
+        text = "".join(f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1" for c in points[at : at + 20_000])
+        assert m.encode(text, path).tolist() == exact.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 1025, 3000)
