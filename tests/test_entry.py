@@ -75,5 +75,9 @@ def test_change_stream(spark, tmp_path):
 def test_sessions(spark, tmp_path):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:30:00"), (1, "2024-01-01 05:00:00"), (2, "2024-01-03 00:00:00")], "user_id int, ts string").selectExpr("user_id", "cast(ts as timestamp) as ts")
     rows.write.parquet(str(tmp_path / "in"))
-    out = changes.run_to_end(changes.sessions(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), "ts", "1 hour", "1 hour", "user_id"), str(tmp_path / "run"))
-    assert sorted(r["n"] for r in out.collect()) == [1, 2]
+    shape = lambda events: changes.sessions(events, "ts", "1 hour", "1 hour", "user_id")
+    read = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    out = changes.run_to_end(shape(read()), str(tmp_path / "run"))
+    assert sorted(r["n"] for r in out.collect()) == [1, 2], "a stream that goes on keeps its last session open"
+    out = changes.run_bounded(read(), shape, "ts", str(tmp_path / "bounded"))
+    assert sorted((r["user_id"], r["n"]) for r in out.collect()) == [(1, 1), (1, 2), (2, 1)], "one that has an end doesn't"
