@@ -78,20 +78,27 @@ def _lookup(s: Scope, spec: dict) -> Scope:
     other = foreign(s, spec["from"])
     key, on = path(spec["localField"], s), path(spec["foreignField"], other)
     right = other.df.select(on.column.alias("_key"), _whole(other).alias("_doc"))
-    arrays = isinstance(on.type, T.ArrayType)
-    if arrays or isinstance(key.type, T.ArrayType):
-        right = right.withColumn("_number", F.monotonically_increasing_id())  # tells equal foreign rows apart
-        right = right.withColumn("_key", F.explode_outer(F.array_distinct("_key"))) if arrays else right
-    lists = right.groupBy("_key").agg(F.collect_list("_doc").alias("_docs"))
+    arrays, many = isinstance(on.type, T.ArrayType), isinstance(key.type, T.ArrayType)
     empty = F.array().cast(T.ArrayType(right.schema["_doc"].dataType))
-    if not isinstance(key.type, T.ArrayType):
+    if arrays and many:
+        right = written(right.withColumn("_number", F.monotonically_increasing_id()), "foreign")  # tells equal foreign rows apart
+    exploded = right.withColumn("_key", F.explode_outer(F.array_distinct("_key"))) if arrays else right
+    lists = exploded.groupBy("_key").agg(F.collect_list("_doc").alias("_docs"))
+    if not many:
         joined = s.df.join(lists, key.column.eqNullSafe(lists["_key"]), "left")
         return s.at(set_path(joined, spec["as"], F.coalesce(F.col("_docs"), empty)).drop("_key", "_docs"))
     numbered = written(s.df.withColumn("_row", F.monotonically_increasing_id()), "lookup")
     local = s.at(numbered, hidden=s.hidden | {"_row"})
-    keys = numbered.select("_row", F.explode_outer(path(spec["localField"], local).column).alias("_local")).distinct()
-    found = keys.join(right, F.col("_local").eqNullSafe(F.col("_key"))).groupBy("_row", "_number").agg(F.first("_doc").alias("_doc"))
-    found = found.groupBy("_row").agg(F.collect_list("_doc").alias("_docs"))
+    keys = numbered.select("_row", F.explode_outer(F.array_distinct(path(spec["localField"], local).column)).alias("_local"))
+    keys = keys.distinct() if any(x in key.type.simpleString() for x in ("float", "double")) else keys  # array_distinct keeps 0.0 beside -0.0
+    same = F.col("_local").eqNullSafe(F.col("_key"))
+    if arrays:  # a row and a foreign row may share several keys: pairs of ids are made distinct before documents join them
+        found = keys.join(exploded.select("_key", "_number"), same).select("_row", "_number").distinct()
+        found = found.join(right.select("_number", F.array("_doc").alias("_docs")), "_number")
+    else:
+        found = keys.join(lists, same)
+    # dealt by row first: lists made within the join's tasks would hold all documents that these meet
+    found = found.select("_row", "_docs").repartition("_row").groupBy("_row").agg(F.flatten(F.collect_list("_docs")).alias("_docs"))
     joined = numbered.join(found, "_row", "left")
     return s.at(set_path(joined, spec["as"], F.coalesce(F.col("_docs"), empty)).drop("_row", "_docs"))
 

@@ -350,6 +350,16 @@ def test_lookup_keeps_equal_foreign_rows(db):
     assert got == {1: [1, 1], 2: []}
 
 
+def test_lookup_by_arrays_shuffles_documents_once(db):
+    left = put(db, [(1, [0.0, -0.0, 1.0, 1.0]), (2, [2.0, None]), (3, []), (4, [9.0])], "_id int, keys array<double>", "l")
+    put(db, [(0.0, "zero"), (1.0, "one"), (1.0, "one"), (2.0, "two"), (None, "none")], "k double, n string", "r")
+    put(db, [([0.0, 1.0], "a"), ([0.0, 1.0], "a"), ([2.0, 2.0], "b"), (None, "none")], "k array<double>, n string", "arrays")
+    for name, want in (("r", {1: ["one", "one", "zero"], 2: ["none", "two"], 3: ["none"], 4: []}), ("arrays", {1: ["a", "a"], 2: ["b", "none"], 3: ["none"], 4: []})):
+        out = left.aggregate([{"$lookup": {"from": name, "localField": "keys", "foreignField": "k", "as": "m"}}])
+        assert {r["_id"]: sorted(x["n"] for x in r["m"]) for r in rows(out)} == want
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString(), "no task sorts documents to tell pairs apart"
+
+
 def test_lookup_runs_an_uncorrelated_pipeline_once(db):
     left = put(db, [(1,), (2,), (3,)], "_id int", "l")
     put(db, [("x", 5), ("y", 7), ("x", 9)], "g string, n int", "r")
