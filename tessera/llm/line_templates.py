@@ -3,10 +3,10 @@
 A line goes down the tree by its number of tokens and its three leading tokens, with numbers masked. Where too few documents share
 the three, one of them may be a wildcard. In the leaf that a line reaches, a token that few documents have at its position is a
 variable field. What remains is the line's template; lines whose template recurs across documents are dropped. Ordinary sentences reach
-common leaves too, the more the larger the corpus is, so a line enters a leaf only if a quarter of its other tokens recurs at its place.
+common leaves too, the more the larger the corpus is, so lines are dealt by leaf as text and fall into tokens only where these are counted.
 
 "Documents" are different texts everywhere: equal texts are one voice, so copies of a whole document don't make its lines recur. That is
-near-dedup's work. Texts are split and masked once; later steps shuffle hashes, and texts of those lines only that share a leaf.
+near-dedup's work. Texts are split and masked once; later steps shuffle hashes, and once each different line that shares a leaf.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ VARIABLE = "<*>"
 SALTS = 32
 #: Bits of a broadcast filter: 65,536 words, 1 MB as a table.
 BITS = 1 << 22
+#: A leaf of so many texts isn't counted in one task.
+HOT_DOCS = 10_000
+#: Bytes of compressed lines whose tokens one task counts.
+TASK_BYTES = 2 << 20
 #: A score above that of any leaf with a wildcard.
 _FULL = 1 << 60
 
@@ -45,13 +49,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "t", "line", F.xxhash64("m").alias("h"), F.array(*leaves).alias("leaves"), "m")
 
 
-def _quarters(m: Column) -> Column:
-    """Hashes of the four quarters of the tokens after the third, each with its place and the number of tokens; of one for no such tokens."""
-    tokens = F.split(m, " ", -1)
-    rest, n = F.slice(tokens, F.lit(4), F.greatest(F.size(tokens) - 3, F.lit(0))), F.greatest(F.size(tokens) - 3, F.lit(0))
-    cut = lambda j: F.ceil(n * j / 4).cast("int")
-    made = [F.when(cut(j + 1) > cut(j), F.xxhash64(F.size(tokens), F.lit(j), F.slice(rest, cut(j) + 1, cut(j + 1) - cut(j)))) for j in range(4)]
-    return F.when(n > 0, F.array_compact(F.array(*made))).otherwise(F.array(F.xxhash64(F.size(tokens))))
+def _tokens(members: DataFrame, *keep: str) -> DataFrame:
+    """(keep, n, key, at, token) for every token of m: n the number of tokens, key a hash of leaf, place and token."""
+    rows = members.withColumn("words", F.split("m", " ", -1)).select(*{*keep, "leaf"}, F.size("words").alias("n"), F.posexplode("words").alias("at", "token"))
+    return rows.select(*keep, "n", F.xxhash64("leaf", "at", "token").alias("key"), "at", "token")
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for the rows of ``df``, which is read from files: the session's number, more if one would have over TASK_BYTES."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+
+
+def _known(members: DataFrame) -> DataFrame:
+    """key of each constant token: one of a line that recurs as it is, or one that MIN_DOCS different texts have in their leaf.
+
+    Lines of one leaf meet in one task, as text; only those of leaves of HOT_DOCS texts or more are shuffled token by token.
+    """
+
+    def counted(rows: DataFrame, *by: str) -> DataFrame:
+        pairs = _tokens(rows, "leaf", "ts").select(*by, F.explode("ts").alias("t")).distinct()
+        return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS).select("key")
+
+    other = members.where("not often")
+    cold = other.where("not hot").select("leaf", "ts", "m").repartition(_tasks(members), "leaf")
+    return _tokens(members.where("often"), "leaf").select("key").unionByName(counted(cold, "leaf", "key")).unionByName(counted(other.where("hot"), "key")).distinct()
 
 
 def _voices(rows: DataFrame, *keys: str) -> DataFrame:
@@ -67,15 +89,27 @@ def _salt(of: str) -> Column:
     return F.pmod(F.xxhash64(of, F.lit("salt")), F.lit(SALTS)).cast("int")
 
 
-def _maybe(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
-    """The rows whose hash ``key`` may be among those of ``known``, and few others, without a shuffle of ``rows``.
+def _marked(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """``rows`` with _may: false where the hash ``key`` is surely not among those of ``known``. Without a shuffle of ``rows``.
 
-    A table of BITS bits is broadcast, as 64-bit words, however many keys there are; with very many of them more rows pass.
+    A table of BITS bits is broadcast, as 64-bit words, however many keys there are; with very many of them more rows are marked.
     """
     place = f"pmod({key}, {BITS}L)"
     words = known.select(F.expr(f"cast({place} div 64 as int)").alias("_word"), F.expr(f"shiftleft(1L, cast({place} % 64 as int))").alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_bits"))
-    placed = rows.withColumn("_word", F.expr(f"cast({place} div 64 as int)")).join(F.broadcast(words), "_word")
-    return placed.where(F.expr(f"(shiftright(_bits, cast({place} % 64 as int)) & 1L) = 1L")).drop("_word", "_bits")
+    placed = rows.withColumn("_word", F.expr(f"cast({place} div 64 as int)")).join(F.broadcast(words), "_word", "left")
+    return placed.withColumn("_may", F.expr(f"coalesce((shiftright(_bits, cast({place} % 64 as int)) & 1L) = 1L, false)")).drop("_word", "_bits")
+
+
+def _maybe(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows whose hash ``key`` may be among those of ``known``, and few others."""
+    return _marked(rows, key, known).where("_may").drop("_may")
+
+
+def _without(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
+    """The rows whose hash ``key`` isn't among those of ``known``. Only marked rows are shuffled, those of one key by their text t."""
+    marked = _marked(rows, key, known)
+    sought = marked.where("_may").withColumn("salt", _salt("t")).join(_salted(known.select(key)), [key, "salt"], "left_anti")
+    return marked.where("not _may").drop("_may").unionByName(sought.select(rows.columns))
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -87,32 +121,32 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     often = written(_voices(lines, "h"), "often")
     reach = lines.select("h", "t", F.posexplode("leaves").alias("at", "leaf")).where("leaf is not null")
     leaves = written(_voices(reach, "leaf"), "leaves")
-    found = written(_maybe(reach.select("h", "at", "leaf"), "leaf", leaves).distinct(), "reach")
-    quarters = _maybe(lines.select("h", "t", "m"), "h", found).select("h", "t", F.explode(_quarters(F.col("m"))).alias("quarter"))
-    recur = written(_voices(quarters, "quarter"), "quarters")
-    alive = _maybe(quarters.select("h", "quarter"), "quarter", recur).distinct().withColumn("salt", _salt("h"))
-    alive = written(alive.join(_salted(recur.select("quarter")), ["quarter", "salt"]).select("h").distinct().join(often, "h", "left_anti"), "alive")
+    found = _maybe(reach.select("h", "at", "leaf"), "leaf", leaves).distinct().withColumn("salt", _salt("h"))
     # which leaf a line goes to: by all three tokens, else by the wildcard that most documents share
-    score = F.when(F.col("at") == 0, F.lit(_FULL)).otherwise(F.col("n_docs") * 4 + 3 - F.col("at"))
-    reached = found.join(alive, "h", "left_semi").withColumn("salt", _salt("h"))
-    chosen = reached.join(_salted(leaves), ["leaf", "salt"]).groupBy("h").agg(F.max(score).alias("score"))
-    chosen = written(chosen.select("h", F.when(F.col("score") >= _FULL, 0).otherwise(3 - F.col("score") % 4).cast("int").alias("at")), "chosen")
-    # one row for each line that recurs as it is, one for each text of any other
+    score = F.when(F.col("at") == 0, F.col("n_docs") + _FULL).otherwise(F.col("n_docs") * 4 + 3 - F.col("at"))
+    chosen = found.join(_salted(leaves), ["leaf", "salt"]).groupBy("h").agg(F.max(score).alias("score"))
+    full = F.col("score") >= _FULL
+    chosen = chosen.select("h", F.when(full, 0).otherwise(3 - F.col("score") % 4).cast("int").alias("at"), F.when(full, F.col("score") - _FULL >= HOT_DOCS).otherwise(F.col("score") >= 4 * HOT_DOCS).alias("hot"))
+    chosen = written(chosen.join(often, "h", "left_anti"), "chosen")
+    # one row for each line; the fewer than MIN_DOCS texts of one that doesn't recur as it is are with it
     same = _maybe(lines, "h", often).groupBy("h").agg(F.min(F.get("leaves", F.lit(0))).alias("leaf"), F.first("m").alias("m")).join(often, "h")
-    same = same.select("h", "leaf", F.lit(True).alias("often"), F.lit(None).cast("long").alias("t"), "m")
-    other = _maybe(lines, "h", chosen).groupBy("h", "t").agg(F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(chosen, "h")
-    other = other.select("h", F.get("leaves", F.col("at")).alias("leaf"), F.lit(False).alias("often"), "t", "m")
+    same = same.select("h", "leaf", F.lit(True).alias("often"), F.lit(False).alias("hot"), F.lit(None).cast("array<bigint>").alias("ts"), "m")
+    other = _without(_maybe(lines.select("h", "t", "leaves", "m"), "h", chosen), "h", often)
+    other = other.groupBy("h").agg(F.collect_set("t").alias("ts"), F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(chosen, "h")
+    other = other.select("h", F.get("leaves", F.col("at")).alias("leaf"), F.lit(False).alias("often"), "hot", "ts", "m")
     members = written(same.unionByName(other), "members")
-    tokens = members.select("leaf", "h", "t", "often", F.posexplode(F.split("m", " ", -1)).alias("at", "token")).select("leaf", "h", "t", "often", "at", F.xxhash64("token").alias("token"))
-    known = tokens.groupBy("leaf", "at", "token", "t").agg(F.max("often").alias("often"))
-    known = known.groupBy("leaf", "at", "token").agg(F.max("often").alias("often"), F.count("t").alias("n_docs"))
-    known = known.where(F.col("often") | (F.col("n_docs") >= MIN_DOCS)).select("leaf", "at", "token", F.lit(True).alias("known"))
-    rare = tokens.where("not often").select("leaf", "h", "at", "token").distinct().withColumn("salt", _salt("h"))
-    placed = rare.join(_salted(known), ["leaf", "at", "token", "salt"], "left")
-    part = F.xxhash64("at", F.when(F.col("known"), F.col("token")))  # a variable field hashes as its position alone
+    known = written(_known(members), "known")
+    # lines with too few constants, told by a filter that may only take a variable field for a constant, need no exact look
+    alive = _maybe(_tokens(members.where("not often"), "h").select("h", "n", "key"), "key", known).groupBy("h", "n").agg(F.count(F.lit(1)).alias("constants"))
+    alive = written(alive.where(F.col("constants") / F.col("n") >= CONSTANT).select("h"), "alive")
+    rare = written(members.where("not often").join(alive, "h", "left_semi"), "rare")
+    tokens = _tokens(rare, "h", "leaf").withColumn("salt", _salt("h"))
+    needed = _maybe(known, "key", tokens.select("key")).withColumn("known", F.lit(True))
+    placed = tokens.join(_salted(needed), ["key", "salt"], "left")
+    part = F.xxhash64("at", F.when(F.col("known"), F.xxhash64("token")))  # a variable field hashes as its position alone
     forms = placed.groupBy("leaf", "h").agg(F.bit_xor(part).alias("template"), F.avg(F.coalesce(F.col("known").cast("int"), F.lit(0))).alias("constant"))
     forms = written(forms.where(F.col("constant") >= CONSTANT).select("h", "leaf", "template"), "forms")
-    recurring = _voices(members.where("not often").select("h", "t").join(forms, "h"), "leaf", "template")
+    recurring = _voices(rare.select("h", F.explode("ts").alias("t")).join(forms, "h"), "leaf", "template")
     variable = forms.withColumn("salt", _salt("h")).join(_salted(recurring), ["leaf", "template", "salt"]).select("h", "leaf", "template", "n_docs")
     as_is = often.join(members.where("often").select("h", "leaf"), "h").select("h", "leaf", F.col("h").alias("template"), "n_docs")
     return lines, members, written(as_is.unionByName(variable), "templates")
@@ -146,7 +180,7 @@ def drop_recurring(docs: DataFrame, length_column: str | None = None) -> DataFra
     """``docs`` with the lines of recurring templates removed from text. Same columns.
 
     A template recurs if MIN_DOCS different texts or more have a line of it, however often one of them repeats it; equal texts count once.
-    At least CONSTANT of its tokens, two of the first three, and a quarter of the others in a row are constants.
+    At least CONSTANT of its tokens and two of the first three are constants, wherever the others are.
     Numbers never tell lines apart. Blank lines are no templates and stay. A null text stays null, an empty one is one blank line, a text whose
     lines all go becomes empty and keeps its row. Rows with the same doc_id, or with none, are cut by their own texts; repeated rows all
     stay. Other columns pass through, but ``length_column``, if there is one of that name, gets the new length of a text that was cut.

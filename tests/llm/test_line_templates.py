@@ -148,3 +148,47 @@ def test_columns_with_clashing_names(spark):
 def test_threshold(spark, copies):
     rows = [(i, f"shared line of five\nown {word(i)} text {word(5 * i)} {word(7 * i)}") for i in range(copies)]
     assert by_spark(spark, rows)[0][1] == (copies == 10)
+
+
+def whole_rule(rows, least=10, share=0.6):
+    """The lines that go, without regard to where a template's variable fields are."""
+    lines = defaultdict(set)
+    for t in {t for _, t in rows if t is not None}:
+        for line in t.split("\n"):
+            lines[masked(line)].add(t)
+    lines = {x: ts for x, ts in lines.items() if x.strip(" ")}
+
+    def reach(line):
+        k = line.split(" ")
+        return [(at, len(k), *(k[:3] if at == 0 else [x for j, x in enumerate(k[:3]) if j != at - 1])) for at in range(4 if len(k) >= 3 else 1)]
+
+    support, having, users, form = defaultdict(set), defaultdict(set), defaultdict(set), {}
+    for line, ts in lines.items():
+        for leaf in reach(line):
+            support[leaf] |= ts
+    home = {x: max(found, key=lambda leaf: (leaf[0] == 0, len(support[leaf]), -leaf[0])) for x in lines if (found := [leaf for leaf in reach(x) if len(support[leaf]) >= least])}
+    for line, leaf in home.items():
+        for at, token in enumerate(line.split(" ")):
+            having[leaf, at, token] |= lines[line]
+    for line, leaf in home.items():
+        made = tuple(token if len(having[leaf, at, token]) >= least else None for at, token in enumerate(line.split(" ")))
+        if sum(x is not None for x in made) / len(made) >= share:
+            form[line] = leaf, made
+            users[leaf, made] |= lines[line]
+    return {line for line, f in form.items() if len(users[f]) >= least}
+
+
+@pytest.mark.parametrize("hot", [m.HOT_DOCS, 15])
+def test_variable_fields_anywhere_after_the_leading_tokens(spark, monkeypatch, hot):
+    monkeypatch.setattr(m, "HOT_DOCS", hot)
+    form = "the server said {0} logged in from {1} office with code {2} and left {3} again".format
+    rows = [(i, form(word(i), word(3 * i), word(5 * i), word(7 * i)) + f"\nown line {word(i)} of {word(11 * i)} it has {word(i % 7)}") for i in range(60)]
+    rows += [(100 + i, form("root", word(3 * i), "seven", word(7 * i)) + f"\n{form('root', 'main', 'seven', 'them')}\nthe server said {word(i)} {word(2 * i)} {word(3 * i)}") for i in range(30)]
+    rows += [(200 + i, rows[i % 3][1]) for i in range(40)] + [(300, "\n".join(rows[0][1].split("\n") * 20)), (301, None), (302, "")]
+    gone = whole_rule(rows)
+    got = by_spark(spark, rows)
+    for i, t in rows:
+        lines = [] if t is None else t.split("\n")
+        kept = [x for x in lines if masked(x) not in gone]
+        assert got[i] == (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
+    assert got[0][1] >= 1 and got[100][1] >= 2, "four fields, one in each quarter of the line"
