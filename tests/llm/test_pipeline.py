@@ -65,3 +65,10 @@ def test_odd_rows(spark, odd, empty, sf_dir):
             docs = stage(spark, docs, sf_dir)
             assert docs.columns == odd.columns
         p.packing(spark, docs, sf_dir).count()
+
+
+def test_line_stage_takes_templates_with_a_field_in_each_quarter(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"the server said {word(i)} logged in from {word(3 * i)} office with code {word(5 * i)} and left {word(7 * i)} again\n\n{word(7 * i)}", "en", "a", 9) for i in range(60)]
+    out = p.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
+    assert {r["doc_id"]: r["text"] for r in out} == {i: f"\n{word(7 * i)}" for i in range(60)}
