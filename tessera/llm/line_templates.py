@@ -2,8 +2,9 @@
 
 A line goes down the tree by its number of tokens and its three leading tokens, with numbers masked. Where too few documents share
 the three, one of them may be a wildcard. In the leaf that a line reaches, a token that few documents have at its position is a
-variable field. What remains is the line's template; lines whose template recurs across documents are dropped. Ordinary sentences reach
-common leaves too, the more the larger the corpus is, so lines are dealt by leaf as text and fall into tokens only where these are counted.
+variable field. What remains is the line's template; lines whose template recurs across documents are dropped. A common start may have a
+leaf of its own with too few lines of a template that recurs beside it, so a line is judged in every leaf that it reaches. Ordinary sentences
+reach common leaves too, the more the larger the corpus is, so lines are dealt by leaf as text and fall into tokens only where these are counted.
 
 "Documents" are different texts everywhere: equal texts are one voice, so copies of a whole document don't make its lines recur. That is
 near-dedup's work. Texts are split and masked once; later steps shuffle hashes, and once each different line that shares a leaf.
@@ -31,6 +32,8 @@ HOT_DOCS = 10_000
 TASK_BYTES = 2 << 20
 #: A score above that of any leaf with a wildcard.
 _FULL = 1 << 60
+#: Most leaves in which one line is judged.
+_HOMES = 4
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -55,12 +58,17 @@ def _tokens(members: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "n", F.xxhash64("leaf", "at", "token").alias("key"), "at", "token")
 
 
-def _tasks(df: DataFrame) -> int:
-    """Tasks for the rows of ``df``, which is read from files: the session's number, more if one would have over TASK_BYTES."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def _tasks(df: DataFrame, times: int) -> int:
+    """Tasks for ``times`` the rows of ``df``, which is read from files: the session's number, more if one would have over TASK_BYTES."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) * times
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
 
 
+def _at_home(members: DataFrame) -> DataFrame:
+    """``members`` with one row for each of their homes: kind, leaf and hot instead of homes."""
+    return members.withColumn("home", F.explode("homes")).select("h", "home.kind", "home.leaf", "often", "home.hot", "ts", "m")
+
+
 def _known(members: DataFrame) -> DataFrame:
     """key of each constant token: one of a line that recurs as it is, or one that MIN_DOCS different texts have in their leaf.
 
@@ -71,9 +79,10 @@ def _known(members: DataFrame) -> DataFrame:
         pairs = _tokens(rows, "leaf", "ts").select(*by, F.explode("ts").alias("t")).distinct()
         return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS).select("key")
 
-    other = members.where("not often")
-    cold = other.where("not hot").select("leaf", "ts", "m").repartition(_tasks(members), "leaf")
-    return _tokens(members.where("often"), "leaf").select("key").unionByName(counted(cold, "leaf", "key")).unionByName(counted(other.where("hot"), "key")).distinct()
+    rows = _at_home(members)
+    other = rows.where("not often")
+    cold = other.where("not hot").select("leaf", "ts", "m").repartition(_tasks(members, _HOMES), "leaf")
+    return _tokens(rows.where("often"), "leaf").select("key").unionByName(counted(cold, "leaf", "key")).unionByName(counted(other.where("hot"), "key")).distinct()
 
 
 def _voices(rows: DataFrame, *keys: str) -> DataFrame:
@@ -113,42 +122,48 @@ def _without(rows: DataFrame, key: str, known: DataFrame) -> DataFrame:
 
 
 def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(lines as of ``_lines``, their members of a leaf with a template, (h, leaf, template, n_docs) of the lines to be dropped).
+    """(lines as of ``_lines``, their members of leaves, one (h, leaf, template, n_docs) for each of the lines to be dropped).
 
-    template is a hash; a line that recurs as it is has its own hash as template.
+    template is a hash, of several the one that most texts have; a line that recurs as it is has its own hash as template.
     """
     lines = written(_lines(docs), "lines")
     often = written(_voices(lines, "h"), "often")
     reach = lines.select("h", "t", F.posexplode("leaves").alias("at", "leaf")).where("leaf is not null")
     leaves = written(_voices(reach, "leaf"), "leaves")
     found = _maybe(reach.select("h", "at", "leaf"), "leaf", leaves).distinct().withColumn("salt", _salt("h"))
-    # which leaf a line goes to: by all three tokens, else by the wildcard that most documents share
-    score = F.when(F.col("at") == 0, F.col("n_docs") + _FULL).otherwise(F.col("n_docs") * 4 + 3 - F.col("at"))
-    chosen = found.join(_salted(leaves), ["leaf", "salt"]).groupBy("h").agg(F.max(score).alias("score"))
-    full = F.col("score") >= _FULL
-    chosen = chosen.select("h", F.when(full, 0).otherwise(3 - F.col("score") % 4).cast("int").alias("at"), F.when(full, F.col("score") - _FULL >= HOT_DOCS).otherwise(F.col("score") >= 4 * HOT_DOCS).alias("hot"))
+    # homes of a line: every leaf that it reaches; and, where its best leaf has a wildcard, that leaf once more with only the lines whose best it
+    # is. Best is the leaf by all three tokens, else the one that most documents share
+    score = F.when(F.col("at") == 0, F.lit(_FULL)).otherwise(F.col("n_docs") * 4 + 3 - F.col("at"))
+    reached = F.struct(score.alias("score"), F.col("at").alias("kind"), "leaf", (F.col("n_docs") >= HOT_DOCS).alias("hot"))
+    chosen = found.join(_salted(leaves), ["leaf", "salt"]).groupBy("h").agg(F.array_sort(F.collect_list(reached)).alias("homes")).withColumn("best", F.element_at("homes", -1))
+    alone = F.struct(F.lit(_HOMES).alias("kind"), F.xxhash64(F.lit(_HOMES), "best.leaf").alias("leaf"), F.col("best.hot").alias("hot"))
+    homes = F.transform("homes", lambda x: F.struct(x["kind"].alias("kind"), x["leaf"].alias("leaf"), x["hot"].alias("hot")))
+    chosen = chosen.select("h", F.when(F.col("best.kind") == 0, homes).otherwise(F.concat(homes, F.array(alone))).alias("homes"))
     chosen = written(chosen.join(often, "h", "left_anti"), "chosen")
     # one row for each line; the fewer than MIN_DOCS texts of one that doesn't recur as it is are with it
-    same = _maybe(lines, "h", often).groupBy("h").agg(F.min(F.get("leaves", F.lit(0))).alias("leaf"), F.first("m").alias("m")).join(often, "h")
-    same = same.select("h", "leaf", F.lit(True).alias("often"), F.lit(False).alias("hot"), F.lit(None).cast("array<bigint>").alias("ts"), "m")
-    other = _without(_maybe(lines.select("h", "t", "leaves", "m"), "h", chosen), "h", often)
-    other = other.groupBy("h").agg(F.collect_set("t").alias("ts"), F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(chosen, "h")
-    other = other.select("h", F.get("leaves", F.col("at")).alias("leaf"), F.lit(False).alias("often"), "hot", "ts", "m")
+    homes = F.filter(F.transform("leaves", lambda x, i: F.struct(i.alias("kind"), x.alias("leaf"), F.lit(False).alias("hot"))), lambda x: x["leaf"].isNotNull())
+    same = _maybe(lines, "h", often).groupBy("h").agg(F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(often, "h")
+    same = same.select("h", homes.alias("homes"), F.lit(True).alias("often"), F.lit(None).cast("array<bigint>").alias("ts"), "m")
+    other = _without(_maybe(lines.select("h", "t", "m"), "h", chosen), "h", often)
+    other = other.groupBy("h").agg(F.collect_set("t").alias("ts"), F.first("m").alias("m")).join(chosen, "h")
+    other = other.select("h", "homes", F.lit(False).alias("often"), "ts", "m")
     members = written(same.unionByName(other), "members")
     known = written(_known(members), "known")
     # lines with too few constants, told by a filter that may only take a variable field for a constant, need no exact look
-    alive = _maybe(_tokens(members.where("not often"), "h").select("h", "n", "key"), "key", known).groupBy("h", "n").agg(F.count(F.lit(1)).alias("constants"))
-    alive = written(alive.where(F.col("constants") / F.col("n") >= CONSTANT).select("h"), "alive")
-    rare = written(members.where("not often").join(alive, "h", "left_semi"), "rare")
+    members = _at_home(members)
+    alive = _maybe(_tokens(members.where("not often"), "h", "leaf").select("h", "leaf", "n", "key"), "key", known).groupBy("h", "leaf", "n").agg(F.count(F.lit(1)).alias("constants"))
+    alive = written(alive.where(F.col("constants") / F.col("n") >= CONSTANT).select("h", "leaf"), "alive")
+    rare = written(members.where("not often").join(alive, ["h", "leaf"], "left_semi"), "rare")
     tokens = _tokens(rare, "h", "leaf").withColumn("salt", _salt("h"))
     needed = _maybe(known, "key", tokens.select("key")).withColumn("known", F.lit(True))
     placed = tokens.join(_salted(needed), ["key", "salt"], "left")
     part = F.xxhash64("at", F.when(F.col("known"), F.xxhash64("token")))  # a variable field hashes as its position alone
     forms = placed.groupBy("leaf", "h").agg(F.bit_xor(part).alias("template"), F.avg(F.coalesce(F.col("known").cast("int"), F.lit(0))).alias("constant"))
     forms = written(forms.where(F.col("constant") >= CONSTANT).select("h", "leaf", "template"), "forms")
-    recurring = _voices(rare.select("h", F.explode("ts").alias("t")).join(forms, "h"), "leaf", "template")
-    variable = forms.withColumn("salt", _salt("h")).join(_salted(recurring), ["leaf", "template", "salt"]).select("h", "leaf", "template", "n_docs")
-    as_is = often.join(members.where("often").select("h", "leaf"), "h").select("h", "leaf", F.col("h").alias("template"), "n_docs")
+    recurring = _voices(rare.select("h", "leaf", F.explode("ts").alias("t")).join(forms, ["h", "leaf"]), "leaf", "template")
+    variable = forms.withColumn("salt", _salt("h")).join(_salted(recurring), ["leaf", "template", "salt"])
+    variable = variable.groupBy("h").agg(F.max(F.struct("n_docs", "leaf", "template")).alias("most")).select("h", "most.leaf", "most.template", "most.n_docs")
+    as_is = often.join(members.where("often and kind = 0").select("h", "leaf"), "h").select("h", "leaf", F.col("h").alias("template"), "n_docs")
     return lines, members, written(as_is.unionByName(variable), "templates")
 
 
@@ -180,7 +195,8 @@ def drop_recurring(docs: DataFrame, length_column: str | None = None) -> DataFra
     """``docs`` with the lines of recurring templates removed from text. Same columns.
 
     A template recurs if MIN_DOCS different texts or more have a line of it, however often one of them repeats it; equal texts count once.
-    At least CONSTANT of its tokens and two of the first three are constants, wherever the others are.
+    At least CONSTANT of its tokens and two of the first three are constants, wherever the others are. A constant is a token that MIN_DOCS
+    different texts have at its place, in the lines of as many tokens that share the leading ones; all choices of these are tried.
     Numbers never tell lines apart. Blank lines are no templates and stay. A null text stays null, an empty one is one blank line, a text whose
     lines all go becomes empty and keeps its row. Rows with the same doc_id, or with none, are cut by their own texts; repeated rows all
     stay. Other columns pass through, but ``length_column``, if there is one of that name, gets the new length of a text that was cut.

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -192,3 +193,64 @@ def test_variable_fields_anywhere_after_the_leading_tokens(spark, monkeypatch, h
         kept = [x for x in lines if masked(x) not in gone]
         assert got[i] == (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     assert got[0][1] >= 1 and got[100][1] >= 2, "four fields, one in each quarter of the line"
+
+
+def every_leaf(rows, least=10, share=0.6):
+    """The lines that go if a line is judged in every leaf that it reaches, and in a leaf with a wildcard also without the lines that have a better one."""
+    lines = defaultdict(set)
+    for t in {t for _, t in rows if t is not None}:
+        for line in t.split("\n"):
+            if masked(line).strip(" "):
+                lines[masked(line)].add(t)
+
+    def reach(line):
+        k = line.split(" ")
+        return [(at, len(k), *(k[:3] if at == 0 else [x for j, x in enumerate(k[:3]) if j != at - 1])) for at in range(4 if len(k) >= 3 else 1)]
+
+    reached = defaultdict(set)
+    for line in lines:
+        for leaf in reach(line):
+            reached[leaf].add(line)
+    support = {leaf: len(set().union(*(lines[x] for x in found))) for leaf, found in reached.items()}
+    members = {leaf: found for leaf, found in reached.items() if support[leaf] >= least}
+    for line in lines:
+        own = [leaf for leaf in reach(line) if leaf in members]
+        if own:
+            members.setdefault(("own", max(own, key=lambda leaf: (leaf[0] == 0, support[leaf], -leaf[0]))), set()).add(line)
+    gone = set()
+    for found in members.values():
+        having, users, form = defaultdict(set), defaultdict(set), {}
+        for line in found:
+            for place in enumerate(line.split(" ")):
+                having[place] |= lines[line]
+        for line in found:
+            form[line] = tuple(token if len(having[at, token]) >= least else None for at, token in enumerate(line.split(" ")))
+            users[form[line]] |= lines[line]
+        gone |= {line for line, made in form.items() if sum(x is not None for x in made) / len(made) >= share and len(users[made]) >= least}
+    return gone
+
+
+def kept_by(rows, gone):
+    cut = {i: ([] if t is None else t.split("\n"), [] if t is None else [x for x in t.split("\n") if masked(x) not in gone]) for i, t in rows}
+    return {i: (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for i, (lines, kept) in cut.items()}
+
+
+def test_a_larger_leaf_does_not_shield_a_template(spark):
+    rows = [(i, f"own {word(i)}\nhost {word(i)} went down for the whole long night") for i in range(12)]
+    # each host has more company by its name, where nothing else recurs, than by that line
+    rows += [(100 + 20 * i + j, "host " + " ".join([word(i), *(word(k * j + i) for k in range(1, 14, 2))])) for i in range(12) for j in range(14)]
+    got = by_spark(spark, rows)
+    assert got == kept_by(rows, every_leaf(rows))
+    assert all(got[i][1] == (i < 12) for i in got)
+    listed = m.templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [tuple(r) for r in listed] == [("host <*> went down for the whole long night", 12)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_mixed_lines_against_every_leaf(spark, monkeypatch, seed):
+    monkeypatch.setattr(m, "HOT_DOCS", 40)
+    draw = random.Random(seed)
+    rows = [(i, "\n".join(" ".join(draw.choices("abcdef", [9, 6, 4, 2, 1, 1], k=draw.choice([2, 3, 5, 7, 8]))) for _ in range(3))) for i in range(400)]
+    gone = every_leaf(rows)
+    assert by_spark(spark, rows) == kept_by(rows, gone)
+    assert whole_rule(rows) < gone, "nothing that goes by one leaf alone stays"

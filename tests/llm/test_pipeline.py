@@ -72,3 +72,11 @@ def test_line_stage_takes_templates_with_a_field_in_each_quarter(spark):
     rows = [(i, f"the server said {word(i)} logged in from {word(3 * i)} office with code {word(5 * i)} and left {word(7 * i)} again\n\n{word(7 * i)}", "en", "a", 9) for i in range(60)]
     out = p.line_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), "").collect()
     assert {r["doc_id"]: r["text"] for r in out} == {i: f"\n{word(7 * i)}" for i in range(60)}
+
+
+def test_line_stage_takes_templates_that_have_less_company_than_a_value_of_their_field(spark):
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    rows = [(i, f"host {word(i)} went down for the whole long night\n{word(3 * i)}") for i in range(12)]
+    rows += [(100 + 20 * i + j, "host " + " ".join([word(i), *(word(k * j + i) for k in range(1, 14, 2))])) for i in range(12) for j in range(14)]
+    docs = spark.createDataFrame([(*r, "en", "a", 9) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert {r["doc_id"]: r["text"] for r in p.line_dedup(spark, docs, "").collect()} == {i: t.split("\n")[-1] for i, t in rows}
