@@ -91,7 +91,8 @@ def _voices(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """``small`` once for each salt, to be joined by a shuffle: Spark sizes it as if it weren't repeated and would broadcast SALTS times its limit."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def _salt(of: str) -> Column:
@@ -139,13 +140,14 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     alone = F.struct(F.lit(_HOMES).alias("kind"), F.xxhash64(F.lit(_HOMES), "best.leaf").alias("leaf"), F.col("best.hot").alias("hot"))
     homes = F.transform("homes", lambda x: F.struct(x["kind"].alias("kind"), x["leaf"].alias("leaf"), x["hot"].alias("hot")))
     chosen = chosen.select("h", F.when(F.col("best.kind") == 0, homes).otherwise(F.concat(homes, F.array(alone))).alias("homes"))
-    chosen = written(chosen.join(often, "h", "left_anti"), "chosen")
-    # one row for each line; the fewer than MIN_DOCS texts of one that doesn't recur as it is are with it
+    chosen = written(chosen.join(often.hint("merge"), "h", "left_anti"), "chosen")
+    # one row for each line; the fewer than MIN_DOCS texts of one that doesn't recur as it is are with it. Tables of lines are joined by a shuffle, as
+    # the lines of ``rows`` lie by h already: files are some ten times smaller than the rows that a broadcast holds
     homes = F.filter(F.transform("leaves", lambda x, i: F.struct(i.alias("kind"), x.alias("leaf"), F.lit(False).alias("hot"))), lambda x: x["leaf"].isNotNull())
-    same = _maybe(lines, "h", often).groupBy("h").agg(F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(often, "h")
+    same = _maybe(lines, "h", often).groupBy("h").agg(F.first("leaves").alias("leaves"), F.first("m").alias("m")).join(often.hint("merge"), "h")
     same = same.select("h", homes.alias("homes"), F.lit(True).alias("often"), F.lit(None).cast("array<bigint>").alias("ts"), "m")
     other = _without(_maybe(lines.select("h", "t", "m"), "h", chosen), "h", often)
-    other = other.groupBy("h").agg(F.collect_set("t").alias("ts"), F.first("m").alias("m")).join(chosen, "h")
+    other = other.groupBy("h").agg(F.collect_set("t").alias("ts"), F.first("m").alias("m")).join(chosen.hint("merge"), "h")
     other = other.select("h", "homes", F.lit(False).alias("often"), "ts", "m")
     members = written(same.unionByName(other), "members")
     known = written(_known(members), "known")
@@ -160,10 +162,10 @@ def recurring_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     part = F.xxhash64("at", F.when(F.col("known"), F.xxhash64("token")))  # a variable field hashes as its position alone
     forms = placed.groupBy("leaf", "h").agg(F.bit_xor(part).alias("template"), F.avg(F.coalesce(F.col("known").cast("int"), F.lit(0))).alias("constant"))
     forms = written(forms.where(F.col("constant") >= CONSTANT).select("h", "leaf", "template"), "forms")
-    recurring = _voices(rare.select("h", "leaf", F.explode("ts").alias("t")).join(forms, ["h", "leaf"]), "leaf", "template")
+    recurring = _voices(rare.select("h", "leaf", F.explode("ts").alias("t")).hint("merge").join(forms, ["h", "leaf"]), "leaf", "template")
     variable = forms.withColumn("salt", _salt("h")).join(_salted(recurring), ["leaf", "template", "salt"])
     variable = variable.groupBy("h").agg(F.max(F.struct("n_docs", "leaf", "template")).alias("most")).select("h", "most.leaf", "most.template", "most.n_docs")
-    as_is = often.join(members.where("often and kind = 0").select("h", "leaf"), "h").select("h", "leaf", F.col("h").alias("template"), "n_docs")
+    as_is = often.join(members.where("often and kind = 0").select("h", "leaf").hint("merge"), "h").select("h", "leaf", F.col("h").alias("template"), "n_docs")
     return lines, members, written(as_is.unionByName(variable), "templates")
 
 

@@ -254,3 +254,32 @@ def test_mixed_lines_against_every_leaf(spark, monkeypatch, seed):
     gone = every_leaf(rows)
     assert by_spark(spark, rows) == kept_by(rows, gone)
     assert whole_rule(rows) < gone, "nothing that goes by one leaf alone stays"
+
+
+def broadcasts(plan):
+    """The text of a plan below each of its broadcasts."""
+    lines = plan.split("\n")
+    depth = [re.search(r"[A-Za-z]", re.sub(r"\*\(\d+\)", "    ", line)) for line in lines]
+    depth = [d.start() if d else 0 for d in depth]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i + 1 : end])
+
+
+def test_repeated_rows_are_not_broadcast(spark, monkeypatch):
+    """Spark takes exploded rows for as large as the file they come from, so their number has no limit in the driver."""
+    plans, real = [], m.written
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return real(df, name)
+
+    monkeypatch.setattr(m, "written", written)
+    rows = [(i, f"alpha beta gamma w{'abcdefghijkl'[i]} delta epsilon\nthe same line again\nown{'abcdefghijkl'[i]} x") for i in range(12)]
+    out = m.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    plans.append(("report", out._jdf.queryExecution().executedPlan().toString()))
+    seen = [(name, below) for name, plan in plans for below in broadcasts(plan)]
+    assert any("bit_or" in below for _, below in seen)  # filters of a fixed size
+    assert not [name for name, below in seen if "Generate" in below.split("Exchange hashpartitioning")[0]]
+    assert sorted((r["n_lines"], r["n_dropped"]) for r in out.collect()) == [(3, 2)] * 12
