@@ -23,11 +23,12 @@ def blocks(rows: DataFrame, keys: list[str], item: Column, salt: Column, size: i
 def block_pairs(rows: DataFrame, keys: list[str], item: Column, salt: Column, size: int, weight: Column | None = None) -> DataFrame:
     """(keys, a, b): all pairs of ``blocks`` within each group of ``keys``; b is null where a is compared with itself.
 
-    No row of the result holds more than two blocks, so a hot group becomes many rows of bounded size instead of one task.
+    No row of the result holds more than two blocks, so a hot group becomes many rows of bounded size instead of one task. Blocks are shuffled:
+    Spark sizes them as if ``rows`` had the size of the files behind it, and would broadcast them, whatever their number.
     """
     made = blocks(rows, keys, item, salt, size, weight)
     alone = made.select(*keys, "a", F.lit(None).cast(made.schema["a"].dataType).alias("b"))
     many = made.where("parts > 1")
     left = many.withColumn("other", F.explode(F.expr("sequence(part, parts - 1)"))).where("other > part")
-    right = many.select(*keys, F.col("part").alias("other"), F.col("a").alias("b"))
+    right = many.select(*keys, F.col("part").alias("other"), F.col("a").alias("b")).hint("merge")
     return alone.union(left.join(right, [*keys, "other"]).select(*keys, "a", "b"))

@@ -418,7 +418,8 @@ def _all_links(sets: DataFrame, similarity: float) -> DataFrame:
     ids = made.select("component", "own", "id")
     other = ids.select("component", F.col("own").alias("own_b"), F.col("id").alias("id_b"))
     pairs = ids.join(other, "component").where("id < id_b and (own != own_b or own = -1)").select("id", "id_b")  # ids of blocks, not of documents
-    across = pairs.join(made.select("id", "a"), "id").join(made.select(F.col("id").alias("id_b"), F.col("a").alias("b")), "id_b").select("a", "b")
+    left, right = made.select("id", "a").hint("merge"), made.select(F.col("id").alias("id_b"), F.col("a").alias("b")).hint("merge")  # near copies make small files
+    across = pairs.join(left, "id").join(right, "id_b").select("a", "b")
     inside = made.where("own = -1").select("a", F.lit(None).cast(made.schema["a"].dataType).alias("b"))
     return links.union(_compared(across.union(inside), similarity))
 

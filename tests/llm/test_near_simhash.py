@@ -268,3 +268,16 @@ def test_stage_on_odd_rows(odd, empty):
     out = m.drop_near_duplicates(odd)
     assert out.columns == odd.columns and sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "4", "5", "6", "7", "None"]
     assert m.drop_near_duplicates(empty).count() == 0
+
+
+def test_blocks_are_not_broadcast(spark, tmp_path):
+    """Spark takes blocks of exploded rows for as large as the file behind them, and a broadcast planned so stays."""
+    import pyspark.sql.functions as F
+
+    from tests.llm.test_line_templates import broadcasts
+
+    spark.range(600).selectExpr("id as v").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows")).select("v", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("k"))
+    pairs = block_pairs(rows, ["k"], F.struct("v"), F.xxhash64("v"), 100)
+    assert not [x for x in broadcasts(pairs._jdf.queryExecution().executedPlan().toString()) if "collect_list" in x]
+    assert pairs.count() == 40 * 21
